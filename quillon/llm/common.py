@@ -62,23 +62,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_ids(docs: DataFrame) -> bool:
+    """Whether every row has a ``doc_id`` of its own."""
+    odd = docs.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("null")).first()
+    return odd["most"] is None or (odd["most"] == 1 and not odd["null"])
+
+
 def keyed(docs: DataFrame, key: str = P + "doc") -> DataFrame:
-    """``docs`` with a long ``key`` that orders distinct documents and is never null.
+    """``docs`` with a long ``key`` that orders distinct documents and is never null."""
+    return keyed_rows(docs, key)[0]
+
+
+def keyed_rows(docs: DataFrame, key: str = P + "doc") -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a long ``key`` that orders distinct documents and is never null; and one row for each key.
 
     Where ``doc_id`` is unique and never null, it is the key. Else keys are ranks over (doc_id with nulls first,
     XXH64 of the text): rows that agree in both are one document and share a key.
     """
-    seen = docs.groupBy("doc_id").count()
-    odd = seen.agg(F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("null")).first()
-    if odd["most"] is None or (odd["most"] == 1 and not odd["null"]):
-        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    if plain_ids(docs):
+        out = docs.withColumn(key, F.col("doc_id").cast("long"))
+        return out, out
     tie = P + "tie"
     marked = docs.withColumn(tie, F.xxhash64("text"))
     distinct = marked.select("doc_id", tie).distinct().orderBy(F.col("doc_id").asc_nulls_first(), tie)
-    kind = dict(docs.dtypes)["doc_id"]
-    ranks = distinct.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(
-        T.StructType().add(P + "id", kind).add(P + "t", "long").add(key, "long")
-    )
+    kind = T.StructType().add(P + "id", docs.schema["doc_id"].dataType).add(P + "t", "long").add(key, "long")
+    ranks = docs.sparkSession.createDataFrame(distinct.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), kind)
     ranks = materialize(ranks, "keys")
     on = marked["doc_id"].eqNullSafe(ranks[P + "id"]) & (marked[tie] == ranks[P + "t"])
-    return marked.join(ranks, on).select(*[marked[c] for c in docs.columns], ranks[key])
+    out = marked.join(ranks, on).select(*[marked[c] for c in docs.columns], ranks[key])
+    return out, out.dropDuplicates([key])

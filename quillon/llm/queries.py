@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontam, licenses, packing, quality, sharding, simhash, token_files
+from quillon.llm import chat, decontam, licenses, packing, quality, sharding, simhash, substring, suffix, token_files
 from quillon.llm.common import table
 
 
@@ -23,6 +23,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(table(spark, sf_dir, "documents")))
 

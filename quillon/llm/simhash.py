@@ -33,10 +33,6 @@ HOT, BROADCAST_ROWS, SMALL = 4000, 100_000, 8
 CHUNK = 1 << 18
 
 
-def _signed(x):
-    return x.view("i8") if hasattr(x, "view") else x - (1 << 64) if x >> 63 else x
-
-
 def fingerprints(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` without its text but with ``fp``, the 64 bits as a long."""
     others = [c for c in docs.columns if c != column]
