@@ -122,7 +122,7 @@ def parse_articles(paragraphs: DataFrame) -> DataFrame:
     df = df.where("article > 0 and kind in ('article', 'body')")
     heads = []
     for i, level in enumerate(K.RANKS):
-        live = F.col(f"l_{level}.pos") > F.greatest(F.lit(-1).cast("long"), *(F.coalesce(F.col(f"l_{up}.pos"), F.lit(-1)) for up in K.RANKS[:i]))
+        live = F.col(f"l_{level}.pos") > F.greatest(F.lit(-1).cast("long"), F.lit(-1).cast("long"), *(F.coalesce(F.col(f"l_{up}.pos"), F.lit(-1)) for up in K.RANKS[:i]))
         heads.append(F.when(live, F.col(f"l_{level}.text")).otherwise(F.lit("")).alias(level))
     df = df.withColumn("heads", F.struct(*heads))
     line = F.when(F.col("kind") == "article", X.article_title("text")).otherwise(F.col("text"))

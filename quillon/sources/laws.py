@@ -14,7 +14,7 @@ SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
 
 def read_laws(spark: SparkSession, path: str) -> DataFrame:
     """Articles of all files below a path, with ``load_seq``: files by path, articles as they stand in their file."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").withColumn("file", F.input_file_name())
     rows = files.select("file", F.posexplode(F.from_json("value", f"array<struct<{SCHEMA.replace(' string', ':string')}>>")).alias("pos", "a"))
     order = Window.orderBy("file")
     sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
