@@ -22,6 +22,11 @@ def empty(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once a row and written once in the plan, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfc(c: Column | str) -> Column:
     """Normal form C. Spark has no such function, so texts that may not be in it yet go through Arrow; the others stay."""
 

@@ -22,19 +22,23 @@ def _head(text: Column, length: Column) -> Column:
 
 def insert_narrative(document: Column | str, story: Column | str) -> Column:
     """The story in its slot; without one, after the line that leads to it; without that, nowhere."""
-    doc = X.empty(document)
+    slot, right, left = F.lit(K.NARRATIVE_SLOT), X.U + r"\s+$", X.U + r"^\s+"
     told = F.array_join(F.filter(F.transform(F.split(X.strip(X.empty(story)), "\n"), X.strip), lambda x: x != ""), "\n")
-    lead = F.regexp_extract(doc, r"(?Ud)(?im)^(.*Trên cơ sở kết quả điều tra[^\n]*\n?)", 1)
-    end = F.instr(doc, lead) + F.length(lead)
-    right, left = X.U + r"\s+$", X.U + r"^\s+"
-    after = F.concat(F.regexp_replace(_head(doc, end - 1), right, ""), F.lit("\n"), told, F.lit("\n"), F.regexp_replace(_rest(doc, end), left, ""))
-    slot = F.lit(K.NARRATIVE_SLOT)
-    return (
-        F.when(told == "", X.strip(F.replace(doc, slot, F.lit(""))))
-        .when(F.contains(doc, slot), F.replace(doc, slot, told))
-        .when(lead != "", after)
-        .otherwise(doc)
-    )
+
+    def led(doc: Column, told: Column, lead: Column) -> Column:
+        end = F.instr(doc, lead) + F.length(lead)
+        after = F.concat(F.regexp_replace(_head(doc, end - 1), right, ""), F.lit("\n"), told, F.lit("\n"), F.regexp_replace(_rest(doc, end), left, ""))
+        return F.when(lead != "", after).otherwise(doc)
+
+    def put(doc: Column, told: Column) -> Column:
+        lead = F.regexp_extract(doc, r"(?Ud)(?im)^(.*Trên cơ sở kết quả điều tra[^\n]*\n?)", 1)
+        return (
+            F.when(told == "", X.strip(F.replace(doc, slot, F.lit(""))))
+            .when(F.contains(doc, slot), F.replace(doc, slot, told))
+            .otherwise(X.let(lead, lambda x: led(doc, told, x)))
+        )
+
+    return X.let(X.empty(document), lambda doc: X.let(told, lambda t: put(doc, t)))
 
 
 def default_wording(document: Column | str) -> Column:
@@ -49,24 +53,29 @@ def _with_appendix(document: Column, appendix: Column) -> Column:
     return F.when(appendix.isNull() | (appendix == ""), document).otherwise(X.strip(F.concat(document, F.lit("\n\n"), appendix)))
 
 
+def _from(doc: Column, pattern: str) -> Column:
+    """From the first match on; the whole text without one."""
+    return X.let(F.regexp_instr(doc, F.lit("(?Ud)(?m)" + pattern)), lambda at: F.when(at > 0, _rest(doc, at)).otherwise(doc))
+
+
 def trim_indictment(c: Column | str) -> Column:
     """From the first legal basis to the end of the last line that names whom to summon; the appendix stays."""
-    parts = split_check(c)
-    doc = parts["document"]
-    start = F.regexp_instr(doc, F.lit(r"(?Ud)(?m)^\s*Căn cứ"))
-    doc = F.when(start > 0, _rest(doc, start)).otherwise(doc)
-    upto = F.regexp_extract(doc, "(?Ud)(?im)(?s:(\\A.*" + K.BODY_END.replace("^", "(?m:^)", 1) + "))", 1)
-    return _with_appendix(X.strip(F.when(upto != "", upto).otherwise(doc)), parts["appendix"])
+    upto = "(?Ud)(?im)(?s:(\\A.*" + K.BODY_END.replace("^", "(?m:^)", 1) + "))"
+
+    def ended(doc: Column) -> Column:
+        return X.let(F.regexp_extract(doc, upto, 1), lambda x: F.when(x != "", x).otherwise(doc))
+
+    return X.let(split_check(c), lambda p: _with_appendix(X.strip(X.let(_from(p["document"], r"^\s*Căn cứ"), ended)), p["appendix"]))
 
 
 def trim_statement(c: Column | str) -> Column:
     """From the first legal basis to the list of recipients; the appendix stays."""
-    parts = split_check(c)
-    doc = parts["document"]
-    start = F.regexp_instr(doc, F.lit(r"(?Ud)(?m)^\W*Căn cứ"))
-    doc = F.when(start > 0, _rest(doc, start)).otherwise(doc)
-    end = F.regexp_instr(doc, F.lit(r"(?Ud)(?m)^\W*(?:\*\*)?Nơi nhận"))
-    return _with_appendix(X.strip(F.when(end > 0, _head(doc, end - 1)).otherwise(doc)), parts["appendix"])
+
+    def ended(doc: Column) -> Column:
+        at = F.regexp_instr(doc, F.lit(r"(?Ud)(?m)^\W*(?:\*\*)?Nơi nhận"))
+        return X.let(at, lambda x: F.when(x > 0, _head(doc, x - 1)).otherwise(doc))
+
+    return X.let(split_check(c), lambda p: _with_appendix(X.strip(X.let(_from(p["document"], r"^\W*Căn cứ"), ended)), p["appendix"]))
 
 
 def strip_markdown(c: Column | str) -> Column:

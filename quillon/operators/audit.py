@@ -53,17 +53,23 @@ def code_check(c: Column | str) -> Column:
 
 def split_check(c: Column | str, begin: str = K.CHECK_BEGIN, end: str = K.CHECK_END) -> Column:
     """Struct (document, appendix): the appendix from its first mark to its end mark, or to the end of the text."""
-    text = X.empty(c)
-    at = F.instr(text, begin)
-    stop = F.instr(F.substring(text, F.greatest(at, F.lit(1)), F.lit(1 << 30)), end)
-    after = at + stop - 1 + len(end)
-    document = (
-        F.when(at == 0, text)
-        .when(stop == 0, F.regexp_replace(F.substring(text, F.lit(1), at - 1), X.U + r"\s+$", ""))
-        .otherwise(X.strip(F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, after, F.lit(1 << 30)))))
-    )
-    appendix = F.when(at == 0, F.lit(None)).when(stop == 0, X.strip(F.substring(text, at, F.lit(1 << 30)))).otherwise(X.strip(F.substring(text, at, after - at)))
-    return F.struct(document.alias("document"), appendix.alias("appendix"))
+
+    def split(text: Column, at: Column) -> Column:
+        before, inside = F.substring(text, F.lit(1), at - 1), F.substring(text, F.greatest(at, F.lit(1)), F.lit(1 << 30))
+
+        def ended(stop: Column) -> Column:
+            length = stop - 1 + len(end)
+            document = (
+                F.when(at == 0, text)
+                .when(stop == 0, F.regexp_replace(before, X.U + r"\s+$", ""))
+                .otherwise(X.strip(F.concat(before, F.substring(text, at + length, F.lit(1 << 30)))))
+            )
+            appendix = F.when(at == 0, F.lit(None)).when(stop == 0, X.strip(inside)).otherwise(X.strip(F.substring(text, at, length)))
+            return F.struct(document.alias("document"), appendix.alias("appendix"))
+
+        return X.let(F.instr(inside, end), ended)
+
+    return X.let(X.empty(c), lambda text: X.let(F.instr(text, begin), lambda at: split(text, at)))
 
 
 def legal_terms(c: Column | str) -> Column:
@@ -75,13 +81,16 @@ def legal_terms(c: Column | str) -> Column:
 
 def keep_suggestions(document: Column | str, draft: Column | str) -> Column:
     """Suggestions of the draft that the document lost, put back before the line of the decision, else at the end."""
-    doc = X.empty(document)
     found = F.regexp_extract_all(X.empty(draft), F.lit("(?Ud)(?i)" + K.SUGGESTION), F.lit(1))
     marks = F.transform(found, lambda s: F.concat(F.lit("[GỢI Ý CỦA AI, KSV CẦN XÁC NHẬN LẠI: "), X.strip(s), F.lit("]")))
-    lost = F.filter(marks, lambda m: ~F.contains(doc, m))
-    block = F.array_join(lost, "\n")
     right = lambda x: F.regexp_replace(x, X.U + r"\s+$", "")
-    at = F.regexp_instr(doc, F.lit(r"(?Ud)(?m)^\s*QUYẾT ĐỊNH\s*$"))
-    placed = X.strip(F.concat(right(F.substring(doc, F.lit(1), at - 1)), F.lit("\n\n"), block, F.lit("\n\n"), F.substring(doc, at, F.lit(1 << 30))))
-    ended = X.strip(F.concat(right(doc), F.lit("\n\n"), block))
-    return F.when(F.size(lost) == 0, doc).when(at > 0, placed).otherwise(ended)
+
+    def placed(doc: Column, block: Column, at: Column) -> Column:
+        inside = F.concat(right(F.substring(doc, F.lit(1), at - 1)), F.lit("\n\n"), block, F.lit("\n\n"), F.substring(doc, at, F.lit(1 << 30)))
+        return F.when(block == "", doc).when(at > 0, X.strip(inside)).otherwise(X.strip(F.concat(right(doc), F.lit("\n\n"), block)))
+
+    def put(doc: Column) -> Column:
+        lost = F.array_join(F.filter(marks, lambda m: ~F.contains(doc, m)), "\n")
+        return X.let(lost, lambda block: X.let(F.regexp_instr(doc, F.lit(r"(?Ud)(?m)^\s*QUYẾT ĐỊNH\s*$")), lambda at: placed(doc, block, at)))
+
+    return X.let(X.empty(document), put)

@@ -20,10 +20,16 @@ def misses(requests: DataFrame, memo: DataFrame) -> DataFrame:
     return requests.join(memo.select("key"), "key", "left_anti").dropDuplicates(["key"])
 
 
-def answer(requests: DataFrame, memo: DataFrame, call: Callable[[str, str], str], tasks: int = 8, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(requests with ``response``, new memo rows). Requests: key, system, user. ``tasks`` bounds concurrent callers.
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Written once and read back, so that no later step calls anything again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    A failed call is repeated while its error is worth it; a request that keeps failing has a null response and isn't stored.
+
+def new_answers(requests: DataFrame, memo: DataFrame, call: Callable[[str, str], str], tasks: int = 8, rounds: int = 3) -> DataFrame:
+    """(key, response) of the requests (key, system, user) that the memo lacks. ``tasks`` bounds concurrent callers.
+
+    A failed call is repeated while its error is worth it; a request that keeps failing or gets an empty answer has no row.
     """
     from quillon.functions.constants import RETRYABLE
 
@@ -44,6 +50,11 @@ def answer(requests: DataFrame, memo: DataFrame, call: Callable[[str, str], str]
             yield pdf[["key"]].assign(response=out)
 
     new = misses(requests, memo).select("key", "system", "user").repartition(tasks, "key").mapInPandas(run, "key string, response string")
-    new = new.where(X.empty("response") != "")
-    known = memo.select("key", "response").unionByName(new)
-    return requests.join(known, "key", "left"), new
+    return new.where(X.empty("response") != "")
+
+
+def answer(requests: DataFrame, memo: DataFrame, call: Callable[[str, str], str], path: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """(requests with ``response``, new memo rows). With a path the new rows are stored there before anything reads them."""
+    new = new_answers(requests, memo, call, **how)
+    new = stored(new, path) if path else new
+    return requests.join(memo.select("key", "response").unionByName(new), "key", "left"), new

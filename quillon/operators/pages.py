@@ -123,3 +123,69 @@ def cluster_boxes(boxes: DataFrame) -> DataFrame:
     lines = F.aggregate("b", start, step)
     texts = F.transform(lines, lambda x: F.array_join(F.transform(F.array_sort(x["boxes"]), lambda y: y["text"]), " "))
     return pages.select("page", F.array_join(texts, "\n").alias("text"))
+
+
+def decide_pages(layers: DataFrame, images: DataFrame, readings: DataFrame, mode: str = "auto", most: int = 60) -> DataFrame:
+    """Every page's final text and how it came about.
+
+    layers: file, page, ord, engine, text (candidates of the text layer). images: file, page, coverage, blank (no mark on the page).
+    readings: file, page, engine, text, confidence, error (second readings made outside; only those a page needs are used).
+    mode: auto, always or never. The order of decisions: best layer, code page, cleaning, judgement, need of a second reading, blank pages, cap,
+    and whether the second reading is better than what was there.
+    """
+    best = best_layer(layers, ["file", "page"]).withColumn("fixed", X.fix_legacy("text"))
+    p = images.select("file", "page", "coverage", "blank").join(best, ["file", "page"], "left")
+    p = p.withColumn("layer", X.clean_text("fixed.text")).withColumn("kind", judge("layer", F.col("coverage")))
+    scanned = F.col("coverage") >= SCAN_COVERAGE
+    plain = (F.col("kind") == "good") | ((F.col("kind") == "suspect") & ~scanned)
+    needs = {"always": F.lit(True), "never": F.lit(False)}.get(mode, ~plain)
+    p = p.withColumn("needs", needs).withColumn("old", F.when((F.col("kind") == "empty") & F.lit(mode != "always"), "").otherwise(F.col("layer")))
+    empty_page = F.col("needs") & F.lit(mode != "always") & (F.col("old") == "") & F.coalesce("blank", F.lit(False))
+    p = p.withColumn("white", empty_page)
+    p = cap_pages(p, "file", "page", F.col("needs") & ~F.col("white"), most)
+    r = readings.select("file", "page", F.col("engine").alias("r_engine"), F.col("text").alias("r_text"), "confidence", F.col("error").alias("r_error"))
+    p = p.join(r, ["file", "page"], "left")
+    read = F.col("method") == "ocr"
+    failed = read & (F.col("r_text").isNull() | (X.empty("r_error") != ""))
+    worse = read & ~failed & F.lit(mode != "always") & (F.col("old") != "") & (X.score_text("r_text") < X.score_text("old"))
+    taken = read & ~failed & ~worse
+    none_left = failed & (F.col("old") == "")
+    method = (
+        F.when(F.col("white"), "blank")
+        .when(none_left, "failed")
+        .when(taken, "ocr")
+        .when(F.col("method") == "skipped", "skipped")
+        .when((F.col("kind") == "empty") & ~F.col("needs"), "blank")
+        .otherwise("text")
+    )
+    text = F.when(taken, F.col("r_text")).when(F.col("white") | none_left | ((F.col("kind") == "empty") & ~F.col("needs")), "").when(F.col("needs"), F.col("old")).otherwise(F.col("layer"))
+    issues = F.array_compact(
+        F.array(
+            F.when(~taken & (F.col("fixed.encoding") == "VNI"), "legacy_encoding"),
+            F.when(~taken & ~F.col("white") & (F.col("kind") == "garbage"), "garbage_layer"),
+            F.when(~taken & (F.col("kind") == "suspect"), "suspect_layer"),
+            F.when(~taken & (F.col("kind") == "good") & scanned, "scanner_layer"),
+            F.when((method == "blank") & ~F.col("white") & ~F.coalesce("blank", F.lit(False)), "unread_image"),
+            F.when(failed, "reading_failed"),
+            F.when(worse, "reading_not_better"),
+            F.when(method == "skipped", "over_the_limit"),
+            F.when(taken & (F.col("r_text") == ""), "nothing_read"),
+        )
+    )
+    reading = F.when(taken, reading_issues("r_text", F.col("confidence"), F.col("r_engine"))).otherwise(F.array().cast("array<string>"))
+    return p.select(
+        "file",
+        "page",
+        method.alias("method"),
+        F.when(taken, F.col("r_engine")).otherwise(X.empty("engine")).alias("engine"),
+        text.alias("text"),
+        F.when(taken, F.col("confidence")).alias("confidence"),
+        F.concat(issues, reading).alias("issues"),
+    )
+
+
+def read_files(pages: DataFrame) -> DataFrame:
+    """Decided pages to files: text in page order, pages by method, and whether someone should look."""
+    text = ordered_text(pages.withColumnRenamed("text", "t"), "file", ["page"], "t", "\n\n")
+    info = file_summary(pages.select("file", F.col("page").alias("number"), "method", "issues"), "file")
+    return text.withColumn("text", X.clean_text("text")).join(info, "file")
