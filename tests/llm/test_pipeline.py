@@ -18,7 +18,7 @@ def planted(spark, docs, tmp_path_factory):
     ]
     docs(rows).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in (1, 3, 5, 6, 11)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3, 4, 5, 6, 7, 11)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder), rows, passage
 
 
