@@ -266,24 +266,48 @@ def build_statements(parsed: DataFrame) -> DataFrame:
     return parsed.withColumns({"statement": F.when(civil, F.array_join(body, "\n")), "header": F.when(civil, header)})
 
 
+#: Marks of a flat statement in order; each is looked for from another one on.
+STATEMENT_MARKS = (
+    ("hom", "^Hôm nay", None),
+    ("qua", "^Qua nghiên cứu", "hom"),
+    ("one", r"^I\.\s", "qua"),
+    ("s1", r"^1\.\s*(Việc|Về việc) tuân theo", "one"),
+    ("s2", r"^2\.\s*Việc tuân theo pháp luật tố tụng của Hội đồng", "s1"),
+    ("s3", r"^3\.\s*Việc chấp hành", "s2"),
+    ("two", r"^II\.\s", "s3"),
+    ("three", r"^III\.\s", "two"),
+    ("end", "^Trên đây là ý kiến", "two"),
+)
+
+
+def with_marks(lines: Column, marks, body, found: dict | None = None) -> Column:
+    """``body`` of the places of all marks; each place is looked up once."""
+    found = found or {}
+    if not marks:
+        return body(found)
+    name, pattern, after = marks[0]
+    place = find_line(lines, pattern, found.get(after))
+    return X.let(place, lambda at: with_marks(lines, marks[1:], body, found | {name: at}))
+
+
 def split_statement(c: Column | str) -> Column:
     """Parts of a flat statement; null where a required mark is missing."""
-    L = X.lines(c)
-    hom = find_line(L, "^Hôm nay")
-    qua = find_line(L, "^Qua nghiên cứu", hom)
-    one = find_line(L, r"^I\.\s", qua)
-    s1 = find_line(L, r"^1\.\s*(Việc|Về việc) tuân theo", one)
-    s2 = find_line(L, r"^2\.\s*Việc tuân theo pháp luật tố tụng của Hội đồng", s1)
-    s3 = find_line(L, r"^3\.\s*Việc chấp hành", s2)
-    two = find_line(L, r"^II\.\s", s3)
-    three, end = find_line(L, r"^III\.\s", two), find_line(L, "^Trên đây là ý kiến", two)
-    out = F.struct(
-        cut(L, hom + 1, qua).alias("parties"),
-        cut(L, s1 + 1, s2).alias("sec1"),
-        cut(L, s2 + 1, s3).alias("sec2"),
-        cut(L, s3 + 1, two).alias("sec3"),
-        cut(L, two + 1, F.coalesce(three, end)).alias("giai_quyet"),
-        F.coalesce(cut(L, three + 1, end), F.array().cast("array<string>")).alias("kien_nghi"),
-    )
-    whole = hom.isNotNull() & qua.isNotNull() & one.isNotNull() & s1.isNotNull() & s2.isNotNull() & s3.isNotNull() & two.isNotNull() & end.isNotNull()
-    return F.when(whole, out)
+
+    def parts(L: Column):
+        def body(m: dict) -> Column:
+            whole = m["hom"].isNotNull()
+            for name in ("qua", "one", "s1", "s2", "s3", "two", "end"):
+                whole = whole & m[name].isNotNull()
+            out = F.struct(
+                cut(L, m["hom"] + 1, m["qua"]).alias("parties"),
+                cut(L, m["s1"] + 1, m["s2"]).alias("sec1"),
+                cut(L, m["s2"] + 1, m["s3"]).alias("sec2"),
+                cut(L, m["s3"] + 1, m["two"]).alias("sec3"),
+                cut(L, m["two"] + 1, F.coalesce(m["three"], m["end"])).alias("giai_quyet"),
+                F.coalesce(cut(L, m["three"] + 1, m["end"]), F.array().cast("array<string>")).alias("kien_nghi"),
+            )
+            return F.when(whole, out)
+
+        return body
+
+    return X.let(X.lines(c), lambda L: with_marks(L, STATEMENT_MARKS, parts(L)))
