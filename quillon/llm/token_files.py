@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import P, keyed, scratch_path
-from quillon.llm.tokens import default_path, encoder
+from quillon.llm.tokens import default_path, encoder, slices
 
 END_ID = 2
 #: Raw bytes at which a frame ends, compressed bytes at which a file ends, zstandard level.
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, *, tokenizer: str | N
             done.append((f"{path}/{name}", first, n, ids))
 
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             for k, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if open_file and open_file[0].size >= FILE_BYTES:
                     finish()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from struct import pack
 
 SMALL_SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
 #: White space that ``str.split`` knows besides the six ASCII characters.
@@ -11,7 +12,7 @@ OTHER_SPACES = re.compile("[%s]" % "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0
 #: Chunks whose lower case, normal form and letter classes are plain: ASCII and Latin letters without dotted capital I.
 PLAIN = re.compile("[!-~%c-%c%c-%c]+" % (0xA1, 0x12F, 0x131, 0x24F)).fullmatch
 #: Entries of one generation of the cache; two are kept.
-CACHED = 200_000
+CACHED = 220_000
 
 
 def default_path() -> str:
@@ -31,11 +32,10 @@ class Encoder(dict):
     def __init__(self, path: str, cached: int = CACHED):
         import json
 
-        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.old, self.array = Tokenizer.from_file(path), cached, {}, np.array
+        self.tokenizer, self.cached, self.old = Tokenizer.from_file(path), cached, {}
         spec = json.loads(self.tokenizer.to_str())
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         norm = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -48,23 +48,30 @@ class Encoder(dict):
         rest = [b for b in range(256) if b not in shown]
         letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
-        self.piece_ids: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        if (found := self.piece_ids.get(piece)) is None:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            found = self.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.piece_ids) >= self.cached:
-                self.piece_ids.clear()
-            self.piece_ids[piece] = found
-        return found
+
+    def _model(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
         if (found := self.old.get(chunk)) is None:
-            if PLAIN(chunk) and not any(s in chunk for s in self.special):
-                found = b"".join(map(self._piece, self.pieces(chunk.lower())))
+            plain = (chunk.isascii() and chunk.isprintable()) or PLAIN(chunk)
+            if plain and chunk.isalpha():  # letters alone are one piece
+                pieces = [chunk.lower()]
+            elif plain and chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":  # letters and a mark are two
+                pieces = [chunk[:-1].lower(), chunk[-1]]
+            elif plain and not any(s in chunk for s in self.special):
+                pieces = self.pieces(chunk.lower())
+            else:
+                pieces = None
+            if pieces == [chunk]:
+                found = self._model(chunk)
+            elif pieces is not None:  # a piece is a chunk of its own
+                found = b"".join(map(self.__getitem__, pieces))
             else:
-                found = self.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+                found = pack(f"<{len(ids)}I", *ids)
         if len(self) >= self.cached:
             self.old = dict(self)
             self.clear()
@@ -80,6 +87,13 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
+def slices(batches, rows: int = 256):
+    """Small slices of Arrow batches, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One a worker process."""
