@@ -23,8 +23,8 @@ from quillon.llm.common import P, keyed_rows, materialize
 KEY = P + "doc"
 #: Tokens that are worked on at once; longer documents are worked on alone.
 CHUNK = 1 << 18
-ANCHORS = "gram long, span long, sides long, doc long, at long"
-CLASSES = "kind int, group long, doc long, at long, first boolean"
+ANCHORS = "gram long, span long, sides long, doc long, at long, more binary"
+CLASSES = "kind int, group long, doc long, at long, length int, first boolean"
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,8 @@ def _chunks(batches, win: Windows):
 def anchors(docs: DataFrame, win: Windows, keep=None) -> DataFrame:
     """Anchors of every document (key, text); ``keep(grams)`` may tell which can repeat at all.
 
-    ``at`` packs the place with how far the anchor's first and last windows start before it.
+    ``at`` packs the place with how far the anchor's first and last windows start before it. A span that stands more than once in
+    one document is one row: its earliest place, and in ``more`` the runs (start, length) that its other places cover.
     """
 
     def run(batches):
@@ -176,18 +177,38 @@ def anchors(docs: DataFrame, win: Windows, keep=None) -> DataFrame:
         import pyarrow as pa
 
         for keys, found in _chunks(batches, win):
-            doc, gram, span, sides, place, before, least = found
+            if found is None:
+                continue
             if keep is not None:
-                good = keep(gram)
-                doc, gram, span, sides, place, before, least = (x[good] for x in (doc, gram, span, sides, place, before, least))
+                good = keep(found[1])
+                found = [x[good] for x in found]
+            doc, gram, span, sides, place, before, least = found
+            order = np.lexsort((place, span, gram, doc))
+            doc, gram, span, sides, place, before, least = (x[order] for x in (doc, gram, span, sides, place, before, least))
+            again = np.r_[False, (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1]) & (span[1:] == span[:-1])] if len(doc) else np.zeros(0, bool)
+            more = np.full(len(doc), None, object)
+            if again.any():
+                start, end = place - before, place - least + win.size
+                new = again & ~np.r_[False, again[:-1] & (start[1:] <= end[:-1])]  # a run begins
+                owner = np.maximum.accumulate(np.where(again, 0, np.arange(len(doc))))
+                at = np.flatnonzero(new)
+                last = np.maximum.reduceat(np.where(again, np.arange(len(doc)), 0), at)
+                runs = np.stack([start[at], end[last] - start[at]], axis=1).astype("<i8")
+                own = owner[at]
+                begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                for i, j in zip(begins, np.r_[begins[1:], len(own)], strict=True):
+                    more[own[i]] = runs[i:j].tobytes()
+            once = ~again
             cols = [gram.view("i8"), span.view("i8"), sides.view("i8"), keys[doc], place << 16 | before << 8 | least]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["gram", "span", "sides", "doc", "at"])
+            out = [pa.array(np.ascontiguousarray(c[once])) for c in cols] + [pa.array(more[once], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["gram", "span", "sides", "doc", "at", "more"])
 
     return docs.select(KEY, "text").mapInArrow(run, ANCHORS)
 
 
 def classes(rows: DataFrame, win: Windows) -> DataFrame:
     """Kind 0: an occurrence of a span that stands twice or more. Kind 1: a representative, filed by one side of its gram.
+    Kind 2: a run (at, length) that further places of the same span in the same document cover.
 
     Rows of a gram are streamed in the order (span, document, place); what is held besides a batch is one row.
     """
@@ -196,15 +217,24 @@ def classes(rows: DataFrame, win: Windows) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        names, side = ["kind", "group", "doc", "at", "first"], win.side
+        names, side = ["kind", "group", "doc", "at", "length", "first"], win.side
+
+        def pack(kind, group, doc, at, first, length=None):
+            n = len(doc)
+            length = np.zeros(n, "i4") if length is None else length
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, kind, "i4"), group, doc, at, length, first)], names=names)
 
-        def pack(*columns):
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        def runs(gram, span, doc, more):
+            has = np.flatnonzero(np.not_equal(more, None))
+            if len(has):
+                each = [np.frombuffer(more[i], "<i8").reshape(-1, 2) for i in has]
+                all_, of = np.concatenate(each), np.repeat(has, [len(e) for e in each])
+                yield pack(2, group_of(gram[of], span[of]), doc[of], all_[:, 0].copy(), np.zeros(len(of), bool), all_[:, 1].astype("i4"))
 
         def group_of(gram, span):
             return mix(gram.view("u8"), 53).view("i8") ^ span
 
-        def filed(gram, span, sides, doc, at):
+        def filed(gram, span, sides, doc, at, more):
             """Representatives under the tokens before their gram, and under those after it."""
             before, least = at >> 8 & 255, at & 255
             for shift, lo, hi, salt in ((32, np.maximum(least, side), before, 3), (0, least, np.minimum(before, side - 1), 5)):
@@ -212,14 +242,13 @@ def classes(rows: DataFrame, win: Windows) -> DataFrame:
                 good = (part != 0) & (lo <= hi)
                 if good.any():
                     key = mix(gram[good].view("u8") + part[good].astype("u8") * np.uint64(0x9FB21C651E98DF25), salt).view("i8")
-                    n = int(good.sum())
-                    yield pack(np.ones(n, "i4"), key, doc[good], (at >> 16 << 16 | hi << 8 | lo)[good], np.zeros(n, bool))
+                    yield pack(1, key, doc[good], (at >> 16 << 16 | hi << 8 | lo)[good], np.zeros(int(good.sum()), bool))
 
         last, waiting = None, None  # the last gram so far, and its representative while it is the only one
 
         def work(cols):
             nonlocal last, waiting
-            gram, span, _, doc, at = cols
+            gram, span, _, doc, at, more = cols
             goes_on = last is not None and gram[0] == last
             if goes_on and waiting is not None:
                 yield from filed(*waiting)
@@ -227,9 +256,10 @@ def classes(rows: DataFrame, win: Windows) -> DataFrame:
             new_span = new_gram | np.r_[True, span[1:] != span[:-1]]
             first = np.flatnonzero(new_span)
             size = np.diff(np.r_[first, len(gram)])
-            many = np.repeat(size > 1, size)
+            many = np.repeat(size > 1, size) | np.not_equal(more, None)
             if many.any():
-                yield pack(np.zeros(int(many.sum()), "i4"), group_of(gram[many], span[many]), doc[many], at[many], new_span[many])
+                yield pack(0, group_of(gram[many], span[many]), doc[many], at[many], new_span[many])
+            yield from runs(gram, span, doc, more)
             number = (np.cumsum(new_gram) - 1)[first]
             spans = np.bincount(number)
             spans[0] += goes_on
@@ -239,6 +269,7 @@ def classes(rows: DataFrame, win: Windows) -> DataFrame:
         held, open_span = None, None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols[5] = cols[5].astype(object)
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
                 held = None
@@ -246,7 +277,8 @@ def classes(rows: DataFrame, win: Windows) -> DataFrame:
                 other = np.flatnonzero((cols[0] != open_span[0]) | (cols[1] != open_span[1]))
                 n = int(other[0]) if len(other) else len(cols[0])
                 if n:
-                    yield pack(np.zeros(n, "i4"), group_of(cols[0][:n], cols[1][:n]), cols[3][:n], cols[4][:n], np.zeros(n, bool))
+                    yield pack(0, group_of(cols[0][:n], cols[1][:n]), cols[3][:n], cols[4][:n], np.zeros(n, bool))
+                    yield from runs(cols[0][:n], cols[1][:n], cols[3][:n], cols[5][:n])
                     cols = [c[n:] for c in cols]
             if not len(cols[0]):
                 continue
@@ -277,6 +309,7 @@ def keyed_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeats(unique: DataFrame, win: Windows, resolve, keep=None) -> DataFrame:
     """(group, doc, start, length, first): groups of equal token runs; every occurrence is a row, the earliest is ``first``.
+    Further occurrences in the same document that overlap or touch are one row, as long as they are together.
 
     unique: key, doc_id and text, a row a key. resolve: from sorted (group, doc, start, context) rows to such groups. The groups'
     spans that aren't first cover exactly the windows that also start earlier.
@@ -287,6 +320,7 @@ def repeats(unique: DataFrame, win: Windows, resolve, keep=None) -> DataFrame:
     whole = found.where("kind = 0").select(
         "group", "doc", (start - before).alias("start"), (before - least + size).cast("int").alias("length"), "first"
     )
+    whole = whole.unionByName(found.where("kind = 2").select("group", "doc", F.col("at").alias("start"), "length", "first"))
     some = materialize(candidates(found), "candidates")
     wanted = some.groupBy("doc").agg(F.collect_list(F.struct("group", "at")).alias("wanted"))
     contexts = _fetch(unique.join(wanted.withColumnRenamed("doc", P + "of"), F.col(KEY) == F.col(P + "of"), "left"), win)

@@ -39,6 +39,8 @@ def sketch(unique: DataFrame, win: Windows, cells: int):
 
         own = [[] for _ in range(ROWS)]
         for _, found in _chunks(batches, win):
+            if found is None:
+                continue
             for r in range(ROWS):
                 own[r].append(mix(found[1], SALTS[r]) & np.uint64(cells - 1))
         for r in range(ROWS):
