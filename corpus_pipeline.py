@@ -15,7 +15,7 @@ from quillon.llm.common import P, keyed_rows, materialize, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and reach the log-likelihood threshold."""
-    return quality.score_quality(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality.score_quality(docs, table(spark, sf_dir, "labels"), singles=True).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

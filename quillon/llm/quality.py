@@ -1,8 +1,9 @@
 """Quality rules: text statistics, and a hashed n-gram log-likelihood ratio against a trusted target.
 
 Two multinomials over hashed words and word pairs are counted: one from every document of the corpus, one from the
-trusted documents. A document's score is the mean log-ratio (target over corpus) of its n-grams; a document is kept if
-it passes the base rules and its score reaches a fixed threshold. Everything is DataFrame functions; the only join is
+trusted documents. A document's score is the mean log-ratio (target over corpus) of its words plus that of its pairs, each
+order with buckets and totals of its own; a document is kept if it passes the base rules and its score reaches a fixed
+threshold. Pairs alone are nearly all rare and their ratios lie around 0, so ``singles=False`` leaves junk in. Everything is DataFrame functions; the only join is
 with a bounded sample of trusted ids, and what reaches each row is one array of ``BUCKETS`` weights.
 
 Defined cases: a null or blank text has no words, fails the base rules and isn't kept; its score is null. Null
@@ -34,6 +35,10 @@ def pair_hashes(w: Column) -> Column:
     return let(w, lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1))))
 
 
+def bucket(h: Column, count: int = BUCKETS) -> Column:
+    return h.bitwiseAND(F.lit(count - 1)).cast("int")
+
+
 def joined(h: Column, by: int) -> Column:
     """Hashes of runs twice as long: element i with element i + ``by``."""
     return let(h, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + by))))
@@ -63,35 +68,43 @@ def trusted_ids(labels: DataFrame, most: int = TARGET_DOCS) -> DataFrame:
     return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS) -> Column:
-    """Scalar subquery: one array with the log-ratio of every bucket."""
+def weights(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, *, singles: bool = False) -> Column:
+    """Scalar subquery: one array with the log-ratio of every bucket: those of pairs, and after them those of ``singles``."""
     ids = F.broadcast(trusted.select(F.col("doc_id").alias(P + "id"), F.lit(1).alias(P + "t")))
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col(P + "id"), "left")
     marked = marked.select(F.coalesce(P + "t", F.lit(0)).alias("t"), words(F.col("text")).alias("w"))
-    pairs = marked.select("t", F.explode(F.slice(pair_hashes(F.col("w")), F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("h"))
-    seen = pairs.groupBy(F.col("h").bitwiseAND(F.lit(count - 1)).cast("int").alias("b")).agg(
-        F.count(F.lit(1)).alias("r"), F.sum("t").alias("t")
-    )
-    empty = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("r"), F.lit(0).alias("t"))
+    pairs = F.slice(pair_hashes(F.col("w")), F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
+    grams = F.transform(pairs, lambda h: bucket(h, count))
+    if singles:
+        grams = F.concat(grams, F.transform("w", lambda x: bucket(F.xxhash64(x), count) + count))
+    seen = marked.select("t", F.explode(grams).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("r"), F.sum("t").alias("t"))
+    empty = docs.sparkSession.range(count * (2 if singles else 1)).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("r"), F.lit(0).alias("t"))
     full = seen.unionByName(empty).groupBy("b").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
+    total = lambda c, own: F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0))
+    pair, single = F.col("b") < count, F.col("b") >= count
     one = full.agg(
-        F.sort_array(F.collect_list(F.struct("b", "r", "t"))).alias("a"), F.sum("r").alias("R"), F.sum("t").alias("S")
+        F.sort_array(F.collect_list(F.struct("b", "r", "t"))).alias("a"),
+        *(total(c, own).alias(name) for c, own, name in (("r", pair, "R"), ("t", pair, "S"), ("r", single, "R1"), ("t", single, "S1"))),
     )
     a = SMOOTHING
 
     def ratio(x: Column) -> Column:
-        target = F.log((x["t"] + a) / (F.col("S") + a * count))
-        return F.when(F.col("S") > 0, target - F.log((x["r"] + a) / (F.col("R") + a * count))).otherwise(F.lit(0.0))
+        pair = x["b"] < count
+        trusted, all_ = F.when(pair, F.col("S")).otherwise(F.col("S1")), F.when(pair, F.col("R")).otherwise(F.col("R1"))
+        target = F.log((x["t"] + a) / (trusted + a * count))
+        return F.when(trusted > 0, target - F.log((x["r"] + a) / (all_ + a * count))).otherwise(F.lit(0.0))
 
     return one.select(F.transform("a", ratio).alias("w")).scalar()
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, most: int = TARGET_DOCS) -> DataFrame:
-    """``docs`` with the statistics, ``base_failed``, ``llr`` (null without n-grams) and ``kept``."""
+def score_quality(
+    docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, most: int = TARGET_DOCS, singles: bool = False
+) -> DataFrame:
+    """``docs`` with the statistics, ``base_failed``, ``llr`` (null without n-grams) and ``kept``; ``singles`` scores words beside pairs."""
     w, text = F.col(P + "words"), F.coalesce(F.col("text"), F.lit(""))
     h2, h8, n = F.col(P + "h2"), F.col(P + "h8"), F.size(P + "words")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
-    out = docs.withColumn(P + "words", words(F.col("text"))).withColumn(P + "w", weights(docs, trusted_ids(labels, most)))
+    out = docs.withColumn(P + "words", words(F.col("text"))).withColumn(P + "w", weights(docs, trusted_ids(labels, most), singles=singles))
     out = out.withColumn(P + "h2", pair_hashes(w))
     last = F.greatest(n - (WINDOW - 1), F.lit(0))
     out = out.withColumn(P + "h8", F.slice(joined(joined(h2, 2), 4), F.lit(1), last))
@@ -105,11 +118,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
             P + "sum": F.aggregate(
                 F.slice(h2, F.lit(1), F.greatest(n - 1, F.lit(0))),
                 F.lit(0.0),
-                lambda s, h: s + F.get(F.col(P + "w"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")),
+                lambda s, h: s + F.get(F.col(P + "w"), bucket(h)),
             ),
         }
     )
+    llr = F.when(F.col("n_words") > 1, F.col(P + "sum") / (F.col("n_words") - 1))
+    if singles:
+        one = F.aggregate(w, F.lit(0.0), lambda s, x: s + F.get(F.col(P + "w"), bucket(F.xxhash64(x)) + BUCKETS))
+        llr = F.when(F.col("n_words") > 0, one / F.col("n_words") + F.coalesce(llr, F.lit(0.0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumn("llr", F.when(F.col("n_words") > 1, F.col(P + "sum") / (F.col("n_words") - 1))).withColumn("base_failed", failed)
+    out = out.withColumn("llr", llr).withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
     return out.drop(*(P + c for c in ("words", "w", "h2", "h8", "sum")))

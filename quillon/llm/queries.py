@@ -36,7 +36,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), singles=True)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
     )

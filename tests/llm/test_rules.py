@@ -74,6 +74,39 @@ def test_quality_without_labels_or_rows(docs, spark, prose):
     assert quality.score_quality(docs([]), none).count() == 0
 
 
+def test_words_and_pairs_equal_brute_force(spark, awkward, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").unionByName(awkward.select("doc_id", "text", "lang", "source", "n_chars"))
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    good = {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    single = lambda text: [xxhash.xxh64_intdigest(x.encode(), 42) & (quality.BUCKETS - 1) for x in WORD.findall(text or "")]
+    parts = []
+    for grams in (single, buckets):
+        raw = Counter(b for r in rows for b in grams(r["text"]))
+        target = Counter(b for r in rows if r["doc_id"] in good for b in grams(r["text"]))
+        n_raw, n_target = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+        weight = lambda b, t=target, r=raw, n=n_target, m=n_raw: math.log((t[b] + 1) / n) - math.log((r[b] + 1) / m)
+        parts.append([(sum(map(weight, own)) / len(own) if own else None) for own in (grams(r["text"]) for r in rows)])
+    want = []
+    for r, one, two in zip(rows, *parts, strict=True):
+        score = None if one is None else one + (two or 0)
+        want.append((r["doc_id"], not base(r["text"])[-1] and score is not None and score >= quality.THRESHOLD, score and round(score, 6)))
+    got = [(r["doc_id"], r["kept"], r["llr"] and round(r["llr"], 6)) for r in quality.score_quality(docs, labels, singles=True).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_op6_rejects_symbol_junk_and_keeps_clean_rows(spark):
+    from quillon.llm.queries import op6_quality
+
+    folder = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in op6_quality(spark, folder).collect() if not r["base_failed"]]
+    junk = [r["kept"] for r in rows if labels.get(r["doc_id"], (1, 0))[0] == 0 and 10 * r["n_symbols"] > r["n_words"]]
+    clean = [r["kept"] for r in rows if labels.get(r["doc_id"]) == (1, 0)]
+    assert len(junk) >= 20 and len(clean) >= 250
+    assert sum(junk) <= 0.05 * len(junk) and sum(clean) >= 0.98 * len(clean)
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files. The above copyright notice and this permission notice shall be included in all
 copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, express."""
