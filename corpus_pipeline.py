@@ -1,4 +1,4 @@
-"""The corpus pipeline: five stages over ``documents``, each one an operator of ``quillon.llm``.
+"""The corpus pipeline: five stages over ``documents``, each one a function of ``quillon.llm``.
 
 Every stage gets the whole of what its predecessor kept, written as Parquet and read again. All but the last return the columns
 of ``documents``.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, packing, quality, simhash, suffix
+from quillon.llm import decontam, near, packing, quality, suffix
 from quillon.llm.common import P, keyed_rows, materialize, table
 
 
@@ -19,9 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    losers = materialize(found.where(F.col(P + "doc") != F.col(P + "keeper")).select(P + "doc").distinct(), "losers")
+    """One document of each group that 5-word Jaccard similarities of 0.8 or more connect: the one with the smallest id."""
+    losers = materialize(near.losers(docs.select("doc_id", "text")), "losers")
     _, unique = keyed_rows(docs)
     return unique.join(decontam.checked(losers, losers.count()), P + "doc", "left_anti").select(*docs.columns)
 
