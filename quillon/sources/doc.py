@@ -84,17 +84,22 @@ def without_fields(text: str) -> str:
     return re.sub("\x13[^\x14]*\x14?|[\x14\x15]", "", text)
 
 
+#: Characters with a meaning of their own in a document's text: paragraph, line, page and cell ends, hyphens that don't break, hard
+#: spaces. Every other control character says nothing.
+CONTROLS = dict.fromkeys((*range(0x09), *range(0x0E, 0x20))) | {0x07: " | ", 0x0B: "\n", 0x0C: "\n", 0x0D: "\n", 0x1E: "-", 0xA0: " "}
+ROW_END = re.compile("\x07\x07")  # an empty cell end closes a row
+
+
 def plain(text: str) -> str:
-    text = without_fields(text)
-    for old, new in (("\x07\x07", " |\n"), ("\x07", " | "), ("\r", "\n"), ("\x0b", "\n"), ("\x0c", "\n"), ("\x1e", "-"), (chr(0xA0), " ")):
-        text = text.replace(old, new)
-    return re.sub(r"^ \|\n", "", re.sub(r"[\x00-\x08\x0e-\x1f]", "", text))
+    """A story as lines; rows of tables are lines too."""
+    rows = ROW_END.sub(" |\n", without_fields(text)).translate(CONTROLS)
+    return rows.removeprefix(" |\n")
 
 
 def notes_of(story: str) -> list[str]:
-    parts = story.split("\x02")
-    parts = parts[1:] if not parts[0].strip() else parts
-    return [x for x in (re.sub(r"\s+", " ", plain(p)).strip() for p in parts) if x]
+    """Notes of a story, without their marks and their blank ones; each note follows a mark."""
+    said = (" ".join(plain(part).split()) for part in story.split("\x02"))
+    return list(filter(None, said))
 
 
 def readable_runs(data: bytes) -> str:

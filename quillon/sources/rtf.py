@@ -1,124 +1,183 @@
-"""RTF bytes to text: a scanner that yields events and a stack of group states."""
+r"""RTF bytes to text, after the published RTF specification (1.9.1).
+
+Three steps, each on its own: ``lex`` cuts the bytes into tokens, ``groups`` nests them by braces, and ``Story`` tells a
+group's text. A group is one of three: data (a destination that carries no text of the document, or an unknown one marked
+``\*``), a note (told by a story of its own and set in brackets where it stands), or plain text.
+"""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
-
-#: Destinations without text of the document.
-SILENT = frozenset(
-    """fonttbl colortbl stylesheet info pict object objdata themedata colorschememapping datastore latentstyles listtable
-    listoverridetable revtbl rsidtbl generator xmlnstbl mmathPr filetbl fontemb fontfile expandedcolortbl pgdsctbl pgdsc header headerl
-    headerr headerf footer footerl footerr footerf ftnsep ftnsepc ftncn aftnsep aftnsepc aftncn fldinst bkmkstart bkmkend nonshppict
-    shppict sp sn background atnid atnauthor annotation atrfstart atrfend template private passwordhash wgrffmtfilter userprops operator author
-    title subject keywords comment doccomm company manager category hlinkbase printim creatim revtim buptim panose falt listname
-    liststylename pnseclvl sv shprslt""".split()
-)
-#: Destinations whose text is kept even where readers may skip them.
-SPOKEN = frozenset("listtext pntext shpinst shptxt shp shpgrp fldrslt field sect footnote".split())
-#: Words that stand for text.
-WORDS = {
-    "par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "cell": " | ", "nestcell": " | ", "nestrow": "\n", "tab": "\t",
-    "emdash": "—", "endash": "–", "emspace": " ", "enspace": " ", "qmspace": " ", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”",
-}
-SYMBOLS = {"{": "{", "}": "}", "\\": "\\", "~": " ", "_": "-", "\n": "\n", "\r": "\n"}
-NOTE = "[Chú thích: "
-
-SCAN = re.compile(r"\\(?:(?P<word>[A-Za-z]{1,32})(?P<number>-?\d{1,10})? ?|'(?P<hex>[0-9A-Fa-f]{2})|(?P<sign>[^A-Za-z]))|(?P<brace>[{}])|(?P<text>[^\\{}\r\n]+)|[\r\n]+", re.S)
-
-
-@dataclass
-class Group:
-    silent: bool = False
-    fallback: int = 1
-    note: bool = False
-
-
-class Reader:
-    def __init__(self):
-        self.group, self.outer, self.out, self.raw = Group(), [], [], bytearray()
-        self.page, self.skip, self.optional = "cp1252", 0, False
+from typing import NamedTuple
+
+#: Destinations without text of the document, by the chapter of the specification that defines them.
+DATA = {
+    "tables of fonts, colours, styles, lists, files, revisions": "fonttbl colortbl stylesheet listtable listoverridetable filetbl revtbl rsidtbl",
+    "document information and protection": "info generator userprops xmlnstbl themedata colorschememapping latentstyles datastore passwordhash",
+    "pictures, objects and drawing properties": "pict nonshppict shppict objdata sp background",
+    "running heads": "header headerl headerr headerf footer footerl footerr footerf",
+    "note separators": "ftnsep ftnsepc ftncn aftnsep aftnsepc aftncn",
+    "field instructions and bookmarks": "fldinst bkmkstart bkmkend",
+    "comments": "annotation atnid atnauthor atrfstart atrfend",
+    "mathematical properties": "mmathPr",
+}
+SILENT = frozenset(name for names in DATA.values() for name in names.split())
+#: Marked as ignorable, yet they hold text that a reader of the page sees: list labels, and text inside shapes.
+SHOWN = frozenset(("listtext", "pntext", "shpinst", "shptxt"))
+#: Control words that are one character (chapter "Special Characters").
+CHARACTERS = {
+    "tab": "\t",
+    "emspace": " ",
+    "enspace": " ",
+    "qmspace": " ",
+    "emdash": "—",
+    "endash": "–",
+    "bullet": "•",
+    "lquote": "‘",
+    "rquote": "’",
+    "ldblquote": "“",
+    "rdblquote": "”",
+}
+#: Control words that end a line, and those that end a table cell.
+LINE_ENDS = frozenset(("par", "line", "sect", "page", "row", "nestrow"))
+CELL_ENDS = frozenset(("cell", "nestcell"))
+#: Control symbols; a backslash before a line end is a paragraph mark.
+SYMBOLS = {b"~": " ", b"_": "-", b"\\": "\\", b"{": "{", b"}": "}", b"\n": "\n", b"\r": "\n"}
+#: Character sets that a header may name without a number.
+CODE_PAGES = {"ansi": "cp1252", "pc": "cp437", "pca": "cp850", "mac": "mac_roman"}
+CELL = "\x00"  # stands for a cell's end until its line is whole
+
+
+class Token(NamedTuple):
+    kind: str  # open, close, word, symbol, byte, text
+    value: object
+    number: int | None = None
+
+
+WORD = re.compile(rb"([A-Za-z]+)(-?\d+)? ?")
+PLAIN = re.compile(rb"[^\\{}\r\n]+")
+
+
+def lex(data: bytes):
+    at, end = 0, len(data)
+    while at < end:
+        c = data[at : at + 1]
+        at += 1
+        if c == b"{":
+            yield Token("open", None)
+        elif c == b"}":
+            yield Token("close", None)
+        elif c == b"\\":
+            if word := WORD.match(data, at):
+                at = word.end()
+                number = None if word[2] is None else int(word[2])
+                if word[1] == b"bin":  # that many bytes follow as they are
+                    at += max(number or 0, 0)
+                else:
+                    yield Token("word", word[1].decode(), number)
+            elif data[at : at + 1] == b"'":
+                digits = data[at + 1 : at + 3]
+                if re.fullmatch(rb"[0-9A-Fa-f]{2}", digits):
+                    yield Token("byte", bytes.fromhex(digits.decode()))
+                    at += 3
+                else:
+                    at += 1
+            else:
+                yield Token("symbol", data[at : at + 1])
+                at += 1
+        elif c not in b"\r\n":
+            run = PLAIN.match(data, at - 1)
+            yield Token("text", run[0])
+            at = run.end()
+
+
+def groups(tokens) -> list:
+    """Nested lists of tokens; braces that don't match are forgiven."""
+    path: list[list] = [[]]
+    for t in tokens:
+        if t.kind == "open":
+            path[-1].append([])
+            path.append(path[-1][-1])
+        elif t.kind == "close":
+            if len(path) > 1:
+                path.pop()
+        else:
+            path[-1].append(t)
+    return path[0]
 
-    def say(self, text: str) -> None:
-        if not self.group.silent:
-            self.out.append(text)
 
-    def flush(self) -> None:
-        """Bytes are decoded together, since a character may take several."""
-        if self.raw:
+def destination(group: list) -> tuple[str, bool]:
+    """A group's first control word, and whether it may be ignored by who does not know it."""
+    head = [x for x in group[:2] if isinstance(x, Token)]
+    ignorable = bool(head) and head[0] == Token("symbol", b"*")
+    word = head[ignorable] if len(head) > ignorable else None
+    return (word.value if word and word.kind == "word" else ""), ignorable
+
+
+class Story:
+    """The text of one run of groups: that of the document, or of one note."""
+
+    def __init__(self, code_page: str = "cp1252"):
+        self.code_page, self.parts, self.pending = code_page, [], b""
+
+    def say(self, text: str) -> None:
+        if self.pending:  # bytes are decoded together, since a character may take several
             try:
-                self.out.append(self.raw.decode(self.page, "replace"))
+                self.parts.append(self.pending.decode(self.code_page, "replace"))
             except LookupError:
-                self.out.append(self.raw.decode("cp1252", "replace"))
-            self.raw.clear()
-
-    def brace(self, sign: str) -> None:
-        self.skip = 0
-        if sign == "{":
-            self.outer.append(self.group)
-            self.group = replace(self.group)
-            return
-        inner, self.optional = self.group, False
-        self.group = self.outer.pop() if self.outer else self.group
-        if inner.note and not self.group.note:
-            self.out.append("]")
-
-    def word(self, name: str, number: int | None) -> None:
-        if self.optional:
-            self.optional = False
-            if name not in SPOKEN:
-                self.group.silent = True
-                return
-        if name == "u" and number is not None:
-            self.say(chr(number % 0x10000))
-            self.skip = self.group.fallback
-        elif name == "uc" and number is not None:
-            self.group.fallback = max(0, number)
-        elif name == "ansicpg" and number:
-            self.page = f"cp{number}"
-        elif name == "footnote":
-            if not self.group.silent:
-                self.out.append(" " + NOTE)
-                self.group.note = True
-        elif name in SILENT:
-            self.group.silent = True
-        elif name in WORDS:
-            self.say(WORDS[name])
-
-    def feed(self, m: re.Match) -> None:
-        if m["hex"]:
-            if self.skip:
-                self.skip -= 1
-            elif not self.group.silent:
-                self.raw.append(int(m["hex"], 16))
-            return
-        self.flush()
-        if m["brace"]:
-            self.brace(m["brace"])
-        elif m["word"]:
-            self.word(m["word"], int(m["number"]) if m["number"] else None)
-        elif m["sign"] == "*":
-            self.optional = True
-        elif m["sign"]:
-            if self.skip:
-                self.skip -= 1
+                self.parts.append(self.pending.decode("cp1252", "replace"))
+            self.pending = b""
+        self.parts.append(text)
+
+    def tell(self, group: list, fallback: int = 1) -> Story:
+        """``fallback``: how many units stand after a Unicode character for readers that don't know it."""
+        todo = [(iter(group), fallback)]
+        skipped = 0
+        while todo:
+            items, fallback = todo.pop()
+            for x in items:
+                if isinstance(x, list):
+                    skipped, (name, ignorable) = 0, destination(x)
+                    if name == "footnote":
+                        said = Story(self.code_page).tell(x, fallback).text().strip()
+                        self.say(f" [Chú thích: {said}]")
+                    elif name not in SILENT and (not ignorable or name in SHOWN):
+                        todo += [(items, fallback), (iter(x), fallback)]
+                        break
+                elif skipped:
+                    if x.kind == "text" and len(x.value) > skipped:
+                        self.pending += x.value[skipped:]
+                    skipped -= min(skipped, len(x.value) if x.kind == "text" else 1)
+                elif x.kind in ("text", "byte"):
+                    self.pending += x.value
+                elif x.kind == "symbol":
+                    self.say(SYMBOLS.get(x.value, ""))
+                elif x.value == "u" and x.number is not None:
+                    self.say(chr(x.number & 0xFFFF))
+                    skipped = fallback
+                elif x.value == "uc" and x.number is not None:
+                    fallback = max(x.number, 0)
+                elif x.value == "ansicpg" and x.number:
+                    self.code_page = f"cp{x.number}"
+                elif x.value in CODE_PAGES:
+                    self.code_page = CODE_PAGES[x.value]
+                elif x.value in CHARACTERS:
+                    self.say(CHARACTERS[x.value])
+                elif x.value in LINE_ENDS or x.value in CELL_ENDS:
+                    self.say("\n" if x.value in LINE_ENDS else CELL)
             else:
-                self.say(SYMBOLS.get(m["sign"], ""))
-        elif m["text"]:
-            dropped = min(self.skip, len(m["text"]))
-            self.skip -= dropped
-            self.say(m["text"][dropped:])
+                skipped = 0
+        return self
+
+    def text(self) -> str:
+        self.say("")
+        joined = "".join(self.parts).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+        lines = (line.rstrip(" \t" + CELL) for line in joined.split("\n"))  # the last cell's end is the row's
+        return "\n".join(line.replace(CELL, " | ").strip() for line in lines)
 
 
 def rtf_text(data: bytes) -> str:
-    r = Reader()
-    for m in SCAN.finditer(data.decode("latin-1")):
-        r.feed(m)
-    r.flush()
-    text = "".join(r.out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    text = re.sub(r"[ \t]*\|[ \t]*\n", "\n", text)
-    text = re.sub(r"\s+\]", "]", re.sub(re.escape(NOTE.rstrip()) + r"\s+", NOTE, text))
-    return "\n".join(x.strip() for x in text.split("\n"))
+    return Story().tell(groups(lex(data))).text()
 
 
 def rtf_bytes(text: str) -> bytes:

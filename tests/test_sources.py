@@ -26,6 +26,27 @@ def test_rtf_skips_as_many_fallback_characters_as_told():
     assert rtf_text(rb"{\rtf1 \u-10179?\u-8704?}") == chr(0x1F600)
 
 
+@pytest.mark.parametrize(
+    ("data", "want"),
+    [
+        (rb"{\rtf1{\field{\*\fldinst HYPERLINK x}{\fldrslt shown}}}", "shown"),
+        (rb"{\rtf1 a{\pict\bin4 }{{x}b}", "ab"),  # four bytes follow as they are
+        (rb"{\rtf1\ansicpg874\'a1\'a2}", chr(0xE01) + chr(0xE02)),
+        (rb"{\rtf1\uc3\u226 \'61b\b x}", "âx"),  # a byte, a letter and a control word are one unit each
+        (rb"{\rtf1{\uc0\u226 }\u226 ?x}", "ââx"),  # a group keeps its own count
+        (rb"{\rtf1{\*\shpinst{\sp{\sn a}{\sv b}}{\shptxt box}}{\header top}}", "box"),
+        (rb"{\rtf1 a\cell\cell c\cell\row b}}}", "a |  | c\nb"),
+        (rb"{\rtf1 x{\footnote {\b one}\par two}y", "x [Chú thích: one\ntwo]y"),
+    ],
+)
+def test_rtf_by_the_specification(data, want):
+    assert rtf_text(data) == want
+
+
+def test_deep_groups_are_read():
+    assert rtf_text(b"{\\rtf1 " + b"{" * 50_000 + b"x" + b"}" * 50_000 + b"}") == "x"
+
+
 @pytest.mark.parametrize("text", ["", "a{b}\\c\nđường", "😀 x\ty"])
 def test_rtf_roundtrip(text):
     assert rtf_text(rtf_bytes(text)) == text
