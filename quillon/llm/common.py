@@ -27,6 +27,23 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
+def free_name(name: str, taken) -> str:
+    """``name``, with ``out_`` before it as often as a table's own columns demand; Spark compares names without case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = "out_" + name
+    return name
+
+
+def add_columns(df: DataFrame, results: dict[str, Column], own: list[str]) -> DataFrame:
+    """The table's ``own`` columns as they are, then the results; a result whose name is taken goes by ``free_name``."""
+    return df.select(*(df[quoted(c)] for c in own), *(c.alias(free_name(n, own)) for n, c in results.items()))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
