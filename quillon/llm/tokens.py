@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from struct import pack
+from struct import Struct, pack
 
 SMALL_SPACES = re.compile(r"[ \t\n\x0b\x0c\r]+")
 #: White space that ``str.split`` knows besides the six ASCII characters.
 OTHER_SPACES = re.compile("[%s]" % "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))))
 #: Chunks whose lower case, normal form and letter classes are plain: ASCII and Latin letters without dotted capital I.
 PLAIN = re.compile("[!-~%c-%c%c-%c]+" % (0xA1, 0x12F, 0x131, 0x24F)).fullmatch
+PACK = [Struct(f"<{n}I").pack for n in range(64)]
 #: Entries of one generation of the cache; two are kept.
 CACHED = 220_000
 
@@ -52,26 +53,31 @@ class Encoder(dict):
     def _model(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(mapped)]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, lower: str) -> bytes:
+        """Ids of letters alone, which are one piece."""
+        found = self.get(lower) or self.old.get(lower)
+        if found is None:
+            found = self[lower] = self._model(lower)
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        plain = (chunk.isascii() and chunk.isprintable()) or PLAIN(chunk)
+        if plain and chunk.isalpha():
+            return self._word(chunk.lower())
+        if plain and chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():  # letters and a mark are two pieces
+            return self._word(chunk[:-1].lower()) + self[chunk[-1]]
+        if plain and not any(s in chunk for s in self.special):
+            pieces = self.pieces(chunk.lower())
+            return self._model(chunk) if pieces == [chunk] else b"".join(map(self.__getitem__, pieces))
+        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        if (found := self.old.get(chunk)) is None:
-            plain = (chunk.isascii() and chunk.isprintable()) or PLAIN(chunk)
-            if plain and chunk.isalpha():  # letters alone are one piece
-                pieces = [chunk.lower()]
-            elif plain and chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":  # letters and a mark are two
-                pieces = [chunk[:-1].lower(), chunk[-1]]
-            elif plain and not any(s in chunk for s in self.special):
-                pieces = self.pieces(chunk.lower())
-            else:
-                pieces = None
-            if pieces == [chunk]:
-                found = self._model(chunk)
-            elif pieces is not None:  # a piece is a chunk of its own
-                found = b"".join(map(self.__getitem__, pieces))
-            else:
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-                found = pack(f"<{len(ids)}I", *ids)
+        found = self.old.get(chunk)
+        if found is None:
+            found = self._chunk(chunk)
         if len(self) >= self.cached:
             self.old = dict(self)
             self.clear()
