@@ -13,7 +13,7 @@ OTHER_SPACES = re.compile("[%s]" % "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0
 PLAIN = re.compile("[!-~%c-%c%c-%c]+" % (0xA1, 0x12F, 0x131, 0x24F)).fullmatch
 PACK = [Struct(f"<{n}I").pack for n in range(64)]
 #: Entries of one generation of the cache; two are kept.
-CACHED = 220_000
+CACHED = 450_000
 
 
 def default_path() -> str:
