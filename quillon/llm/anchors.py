@@ -18,11 +18,14 @@ from functools import cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import P, keyed_rows, materialize
+from quillon.llm.common import P, checked, keyed_rows, materialize
+from quillon.llm.tokens import slices
 
 KEY = P + "doc"
-#: Tokens that are worked on at once; longer documents are worked on alone.
+#: Tokens that are worked on at once; longer documents are cut into segments that overlap.
 CHUNK = 1 << 18
+#: Rows of a group beyond which it is split over tasks.
+HOT = 2000
 ANCHORS = "gram long, span long, sides long, doc long, at long, more binary"
 CLASSES = "kind int, group long, doc long, at long, length int, first boolean"
 
@@ -39,6 +42,10 @@ class Windows:
     def side(self) -> int:
         return -(-(self.size - self.gram) // 2)
 
+    def __post_init__(self):
+        if not 0 < self.gram < self.size < self.gram + (1 << 16):
+            raise ValueError(f"windows of {self.size} tokens can't be anchored by grams of {self.gram}")
+
 
 @cache
 def _table(seed: int):
@@ -145,24 +152,52 @@ def chunk_anchors(hashes: list, win: Windows):
     return doc, gram, span, left << np.uint64(32) | right, place, before, least_before
 
 
+def _segments(text: bytes, win: Windows):
+    """(first token, token hashes) of a document, ``CHUNK`` windows at a time; neighbours share the tokens of the windows between them."""
+    import numpy as np
+
+    if win.tokens == "bytes":
+        for at in range(0, max(1, len(text) - win.size + 1), CHUNK):
+            yield at, token_hashes(text[at : at + CHUNK + win.size - 1], win.tokens)
+        return
+    parts, at = [], 0
+    while at < len(text):  # words are split a piece of the text at a time
+        end = at + (CHUNK << 3)
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        parts.append(token_hashes(text[at:end], win.tokens))
+        at = end
+    all_ = np.concatenate(parts) if parts else np.zeros(0, "u8")
+    for at in range(0, max(1, len(all_) - win.size + 1), CHUNK):
+        yield at, all_[at : at + CHUNK + win.size - 1]
+
+
 def _chunks(batches, win: Windows):
-    """(keys of the chunk's documents, their anchors) for every chunk of every batch (key, text)."""
+    """(keys of the chunk's segments, their anchors) for every chunk of every batch (key, text)."""
     import numpy as np
 
-    for batch in batches:
-        keys, hashes, held = [], [], 0
+    def whole(keys, firsts, hashes):
+        found = chunk_anchors(hashes, win)
+        if found is not None:
+            doc, gram, span, sides, place, before, least = found
+            found = doc, gram, span, sides, place + np.array(firsts, "i8")[doc], before, least
+        return np.array(keys, "i8"), found
+
+    keys, firsts, hashes, held = [], [], [], 0
+    for batch in slices(batches):
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            h = token_hashes((text or "").encode(), win.tokens)
-            if len(h) < win.size:
-                continue
-            if held and held + len(h) > CHUNK:
-                yield np.array(keys, "i8"), chunk_anchors(hashes, win)
-                keys, hashes, held = [], [], 0
-            keys.append(k)
-            hashes.append(h)
-            held += len(h)
-        if keys:
-            yield np.array(keys, "i8"), chunk_anchors(hashes, win)
+            for first, h in _segments((text or "").encode(), win):
+                if len(h) < win.size:
+                    continue
+                if held and held + len(h) > CHUNK:
+                    yield whole(keys, firsts, hashes)
+                    keys, firsts, hashes, held = [], [], [], 0
+                keys.append(k)
+                firsts.append(first)
+                hashes.append(h)
+                held += len(h)
+    if keys:
+        yield whole(keys, firsts, hashes)
 
 
 def anchors(docs: DataFrame, win: Windows, keep=None) -> DataFrame:
@@ -199,7 +234,7 @@ def anchors(docs: DataFrame, win: Windows, keep=None) -> DataFrame:
                 for i, j in zip(begins, np.r_[begins[1:], len(own)], strict=True):
                     more[own[i]] = runs[i:j].tobytes()
             once = ~again
-            cols = [gram.view("i8"), span.view("i8"), sides.view("i8"), keys[doc], place << 16 | before << 8 | least]
+            cols = [gram.view("i8"), span.view("i8"), sides.view("i8"), keys[doc], place << 32 | before << 16 | least]
             out = [pa.array(np.ascontiguousarray(c[once])) for c in cols] + [pa.array(more[once], pa.binary())]
             yield pa.RecordBatch.from_arrays(out, names=["gram", "span", "sides", "doc", "at", "more"])
 
@@ -224,25 +259,25 @@ def classes(rows: DataFrame, win: Windows) -> DataFrame:
             length = np.zeros(n, "i4") if length is None else length
             return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, kind, "i4"), group, doc, at, length, first)], names=names)
 
-        def runs(gram, span, doc, more):
+        def runs(gram, span, doc, at, more):
             has = np.flatnonzero(np.not_equal(more, None))
             if len(has):
                 each = [np.frombuffer(more[i], "<i8").reshape(-1, 2) for i in has]
                 all_, of = np.concatenate(each), np.repeat(has, [len(e) for e in each])
-                yield pack(2, group_of(gram[of], span[of]), doc[of], all_[:, 0].copy(), np.zeros(len(of), bool), all_[:, 1].astype("i4"))
+                yield pack(2, group_of(gram[of], span[of]), doc[of], all_[:, 0] << 32 | (at[of] >> 16 & 0xFFFF) - (at[of] & 0xFFFF) + win.size, np.zeros(len(of), bool), all_[:, 1].astype("i4"))
 
         def group_of(gram, span):
             return mix(gram.view("u8"), 53).view("i8") ^ span
 
         def filed(gram, span, sides, doc, at, more):
             """Representatives under the tokens before their gram, and under those after it."""
-            before, least = at >> 8 & 255, at & 255
+            before, least = at >> 16 & 0xFFFF, at & 0xFFFF
             for shift, lo, hi, salt in ((32, np.maximum(least, side), before, 3), (0, least, np.minimum(before, side - 1), 5)):
                 part = sides >> shift & 0xFFFFFFFF
                 good = (part != 0) & (lo <= hi)
                 if good.any():
                     key = mix(gram[good].view("u8") + part[good].astype("u8") * np.uint64(0x9FB21C651E98DF25), salt).view("i8")
-                    yield pack(1, key, doc[good], (at >> 16 << 16 | hi << 8 | lo)[good], np.zeros(int(good.sum()), bool))
+                    yield pack(1, key, doc[good], (at >> 32 << 32 | hi << 16 | lo)[good], np.zeros(int(good.sum()), bool))
 
         last, waiting = None, None  # the last gram so far, and its representative while it is the only one
 
@@ -259,7 +294,7 @@ def classes(rows: DataFrame, win: Windows) -> DataFrame:
             many = np.repeat(size > 1, size) | np.not_equal(more, None)
             if many.any():
                 yield pack(0, group_of(gram[many], span[many]), doc[many], at[many], new_span[many])
-            yield from runs(gram, span, doc, more)
+            yield from runs(gram, span, doc, at, more)
             number = (np.cumsum(new_gram) - 1)[first]
             spans = np.bincount(number)
             spans[0] += goes_on
@@ -278,7 +313,7 @@ def classes(rows: DataFrame, win: Windows) -> DataFrame:
                 n = int(other[0]) if len(other) else len(cols[0])
                 if n:
                     yield pack(0, group_of(cols[0][:n], cols[1][:n]), cols[3][:n], cols[4][:n], np.zeros(n, bool))
-                    yield from runs(cols[0][:n], cols[1][:n], cols[3][:n], cols[5][:n])
+                    yield from runs(cols[0][:n], cols[1][:n], cols[3][:n], cols[4][:n], cols[5][:n])
                     cols = [c[n:] for c in cols]
             if not len(cols[0]):
                 continue
@@ -304,64 +339,102 @@ def candidates(found: DataFrame) -> DataFrame:
 
 def keyed_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows with their key, and one row a key; both read the same columns, so Spark can share their exchange."""
-    return keyed_rows(docs)
+    rows, unique = keyed_rows(docs)
+    return rows, unique.select(KEY, "text")
 
 
 def repeats(unique: DataFrame, win: Windows, resolve, keep=None) -> DataFrame:
     """(group, doc, start, length, first): groups of equal token runs; every occurrence is a row, the earliest is ``first``.
     Further occurrences in the same document that overlap or touch are one row, as long as they are together.
 
-    unique: key, doc_id and text, a row a key. resolve: from sorted (group, doc, start, context) rows to such groups. The groups'
+    unique: key and text, a row a key. resolve: from sorted (group, doc, start, context) rows to such groups. The groups'
     spans that aren't first cover exactly the windows that also start earlier.
     """
     found = materialize(classes(anchors(unique, win, keep), win), "classes")
     size = win.size
-    start, before, least = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
+    start, before, least = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF), F.col("at").bitwiseAND(0xFFFF)
     whole = found.where("kind = 0").select(
         "group", "doc", (start - before).alias("start"), (before - least + size).cast("int").alias("length"), "first"
     )
-    whole = whole.unionByName(found.where("kind = 2").select("group", "doc", F.col("at").alias("start"), "length", "first"))
+    whole = whole.unionByName(found.where("kind = 2").select("group", "doc", F.shiftright("at", 32).alias("start"), "length", "first"))
     some = materialize(candidates(found), "candidates")
     wanted = some.groupBy("doc").agg(F.collect_list(F.struct("group", "at")).alias("wanted"))
-    contexts = _fetch(unique.join(wanted.withColumnRenamed("doc", P + "of"), F.col(KEY) == F.col(P + "of"), "left"), win)
+    contexts = _fetch(unique.join(wanted.withColumnRenamed("doc", P + "of"), F.col(KEY) == F.col(P + "of"), "left"), win).select("group", "doc", "start", "context")
     part = contexts.repartition("group").sortWithinPartitions("group", "doc", "start").mapInArrow(resolve, REPEATS)
     return whole.unionByName(part)
 
 
+def array_repeats(unique: DataFrame, win: Windows, resolve) -> DataFrame:
+    """As ``repeats``, but every occurrence is resolved by its bytes; hashes only tell which contexts meet.
+
+    The contexts of a file are sorted by Spark and handed to ``resolve``. A file of copies with over ``HOT`` rows is dealt to
+    about the square root of as many tasks, and what each of them keeps of it (a row a context) meets once more. A file of different contexts
+    with over ``HOT`` rows is refiled by every single window.
+    """
+    found = materialize(classes(anchors(unique, win), win), "classes")
+    copies = found.where("kind in (0, 2)").select("group", "doc", "at", F.when(F.col("kind") == 2, F.col("length")).otherwise(0).alias("reach"))
+    hot = materialize(copies.groupBy("group").count().where(F.col("count") > HOT), "hot")
+    hot = hot.select(F.col("group").alias("of"), F.ceil(F.sqrt("count")).cast("int").alias("parts"))
+    copies = copies.join(checked(hot, hot.count()), F.col("group") == F.col("of"), "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("doc", "at"), F.col("parts")).cast("int"), F.lit(-1))
+    copies = copies.select("group", "doc", "at", "reach", salt.alias("salt"))
+    reps = found.where("kind = 1").select("group", "doc", "at", F.count(F.lit(1)).over(Window.partitionBy("group")).alias("n")).where("n > 1")
+    reps = reps.select("group", "doc", "at", F.lit(0).alias("reach"), F.when(F.col("n") > HOT, EACH).otherwise(-1).alias("salt"))
+    wanted = copies.unionByName(reps).groupBy("doc").agg(F.collect_list(F.struct("group", "at", "reach", "salt")).alias("wanted"))
+    joined = unique.join(wanted.withColumnRenamed("doc", P + "of"), F.col(KEY) == F.col(P + "of"), "left")
+    filed = _fetch(joined, win).repartition("group", "salt").sortWithinPartitions("group", "salt", "context", "doc", "start")
+    once = materialize(filed.mapInArrow(resolve, RESOLVED), "resolved")
+    again = once.where("context is not null").select("group", F.lit(-1).alias("salt"), "doc", "start", "context", "reach", "before", "copies")
+    again = again.repartition("group").sortWithinPartitions("group", "context", "doc", "start").mapInArrow(resolve, RESOLVED)
+    columns = ["group", "doc", "start", "length", "first"]
+    return once.where("context is null").select(*columns).unionByName(again.select(*columns))
+
+
 REPEATS = "group long, doc long, start long, length int, first boolean"
-CONTEXTS = "group long, doc long, start long, context binary"
+#: salt: -1 for a whole file, else the part of a file; before: the byte before the context, -1 at the start of a document; copies: rows it stands for.
+CONTEXTS = "group long, salt int, doc long, start long, context binary, reach int, before int, copies int"
+RESOLVED = "group long, doc long, start long, length int, first boolean, context binary, reach int, before int, copies int"
+#: The salt that asks for a row a window.
+EACH = -2
 
 
 def _fetch(joined: DataFrame, win: Windows) -> DataFrame:
-    """The tokens that the windows of every wanted place cover."""
+    """The tokens that the windows of every wanted place cover: CONTEXTS."""
+    import pyarrow as pa
+
+    schema = pa.schema([("group", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("context", pa.binary()), ("reach", pa.int32()), ("before", pa.int32()), ("copies", pa.int32())])
 
     def run(batches):
-        for batch in batches:
-            out = []
+        from xxhash import xxh64_intdigest
+
+        out = []
+        for batch in slices(batches):
             for key, text, wanted in zip(*(batch.column(c).to_pylist() for c in (KEY, "text", "wanted")), strict=True):
                 if not wanted:
                     continue
                 raw = (text or "").encode()
                 w = raw.split() if win.tokens == "words" else None
                 for x in wanted:
-                    place, before, least = x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255
-                    start, end = place - before, place - least + win.size
-                    cut = b" ".join(w[start:end]) if w is not None else raw[start:end]
-                    out.append((x["group"], key, start, cut))
+                    group, salt, reach = x["group"], x.get("salt", -1), x.get("reach", 0)
+                    if reach:  # a run: its start, and the length of the span that it repeats
+                        start, end = x["at"] >> 32, (x["at"] >> 32) + (x["at"] & 0xFFFFFFFF)
+                    else:
+                        place, before, least = x["at"] >> 32, x["at"] >> 16 & 0xFFFF, x["at"] & 0xFFFF
+                        start, end = place - before, place - least + win.size
+                    for a, b in [(start, end)] if salt != EACH else [(i, i + win.size) for i in range(start, end - win.size + 1)]:
+                        cut = b" ".join(w[a:b]) if w is not None else raw[a:b]
+                        of = group if salt != EACH else xxh64_intdigest(cut) - (1 << 63)
+                        out.append((of, max(salt, -1), key, a, cut, reach or b - a, raw[a - 1] if w is None and a else -1, 1))
                     if len(out) >= 10_000:
                         yield _batch(out)
                         out = []
-            if out:
-                yield _batch(out)
+        if out:
+            yield _batch(out)
 
     def _batch(out):
-        import pyarrow as pa
-
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        names = ["group", "doc", "start", "context"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.select(KEY, "doc_id", "text", "wanted").mapInArrow(run, CONTEXTS)
+    return joined.select(KEY, "text", "wanted").mapInArrow(run, CONTEXTS)
 
 
 def whole_groups(batches, most: int):
@@ -390,7 +463,10 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
+SPANS = P + "spans"
+
+
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with ``spans``: the occurrences in each document that aren't the first of their group."""
-    spans = found.where("not first").groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    return rows.join(spans.withColumnRenamed("doc", P + "of"), F.col(KEY) == F.col(P + "of"), "left").drop(P + "of")
+    """``rows`` with ``SPANS``: the occurrences in each document that aren't the first of their group."""
+    spans = found.where("not first").groupBy(F.col("doc").alias(P + "of")).agg(F.collect_list(F.struct("start", "length")).alias(SPANS))
+    return rows.join(spans, F.col(KEY) == F.col(P + "of"), "left").drop(P + "of")

@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import P, keyed, let, materialize
+from quillon.llm.common import BROADCAST_ROWS, P, checked, keyed, let, materialize
 from quillon.llm.quality import joined, pair_hashes
 
 SHINGLE, THRESHOLD_TENTHS = 5, 8
-#: Rows of sketch keys, item shingles or pairs up to which a side is broadcast (about 24 bytes a row); beyond, Spark shuffles.
-BROADCAST_ROWS = 500_000
 
 
 def plain_words(text: Column) -> Column:
@@ -48,11 +46,6 @@ def shingles(w: Column) -> Column:
     return let(w, lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(cut(w))))
 
 
-def checked(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only for a side whose size was counted and is within the bound."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def item_sketches(items: DataFrame) -> DataFrame:
     """(item, n, h): the sketch of every item, one row a hash."""
     sized = items.select(P + "item", F.array_distinct(shingle_hashes(F.col(P + "w"))).alias("hs")).withColumn("n", F.size("hs"))

@@ -19,7 +19,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.anchors import KEY, Windows, _chunks, keyed_windows, merged, mix, repeats, whole_groups, with_spans
+from quillon.llm.anchors import KEY, SPANS, Windows, _chunks, keyed_windows, merged, mix, repeats, whole_groups, with_spans
+from quillon.llm.tokens import slices
 
 SIZE, GRAM = 20, 10
 #: Rows of the sketch, text bytes a cell of a row is given, bounds of the cells of a row, cells of a shard.
@@ -143,9 +144,9 @@ def resolve(size: int):
     return run
 
 
-def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, cells: int | None = None) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, length) in words that are removed, which may overlap; null for none."""
-    win = Windows(size, gram, "words")
+def dedup(docs: DataFrame, size: int = SIZE, gram: int | None = None, cells: int | None = None) -> DataFrame:
+    """``docs`` with ``SPANS``: array of (start, length) in words that are removed, which may overlap; null for none."""
+    win = Windows(size, min(GRAM, max(1, size // 2)) if gram is None else gram, "words")
     rows, unique = keyed_windows(docs)
     if cells is None:
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -161,7 +162,7 @@ def digests(cut: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w, at, kept = (text or "").encode().split(), 0, []
@@ -175,5 +176,5 @@ def digests(cut: DataFrame) -> DataFrame:
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    rows = cut.select(F.col("doc_id").cast("long"), "text", "spans")
+    rows = cut.select(F.col("doc_id").cast("long"), "text", SPANS)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,16 +1,22 @@
 """Suffix-array dedup: maximal repeats of bytes from the common-prefix interval tree of an enhanced suffix array.
 
-Texts are cut at anchors (see ``anchors``) so that equal windows meet in one task. There, the suffixes that start a window are
-sorted, and the array of common-prefix lengths with the neighbour is scanned with a stack: every interval whose suffixes share ``size``
-bytes or more is a node of the tree. A node whose suffixes are not all preceded by the same byte can't be extended to the left; it is
-output as a maximal repeat with all its occurrences. Spans that agree as a whole were grouped before and only their earliest
-representative takes part, so groups of copies, however large, are streamed and never gathered.
+Texts are filed by anchors (see ``anchors``) so that equal windows meet: a file holds the contexts of one anchor, that is the bytes that its windows
+cover. Hashes only decide who meets; what repeats is told by the array alone. Spark sorts the contexts of a file; neighbours whose common prefix is the whole
+context are one suffix with several places. The different contexts enter an array: the suffixes that start a window are sorted, and the array of
+common-prefix lengths with the neighbour is scanned with a stack. Every interval whose suffixes share ``size`` bytes or more is a node of the tree. A node whose suffixes are not
+all preceded by the same byte can't be extended to the left; it is output as a maximal repeat with all its occurrences. A context reaches at most
+``size - gram`` bytes to either side of its gram, so a longer repeat comes out as overlapping pieces, one a context, and a node at a context's left edge
+counts as maximal there.
 
 Removed is every byte of an occurrence but the earliest of its group, that is, every byte covered by a ``size``-byte string that
 also starts earlier (smaller document key, or same document and earlier start).
 
+Groups of copies are streamed, and large ones dealt to many tasks; what is held of a file is its different contexts, ``anchors.HOT`` at most. Long texts are
+anchored in overlapping segments.
+
 Defined cases: null texts are empty and lose nothing; texts shorter than ``size`` never lose a byte. Rows that agree in id
-and text are one document and get the same result; null ids come first. Empty tables give no rows.
+and text are one document and get the same result; null ids come first. Ties are equal bytes, so the earlier place wins. Empty tables give no rows. A table's own
+columns stay as they are, whatever their names. A ``size`` that can't be anchored raises ValueError.
 """
 
 from __future__ import annotations
@@ -20,8 +26,9 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.anchors import KEY, Windows, keyed_windows, merged, repeats, whole_groups, with_spans
-from quillon.llm.common import P
+from quillon.llm.anchors import KEY, SPANS, Windows, array_repeats, keyed_windows, merged, with_spans
+from quillon.llm.common import quoted
+from quillon.llm.tokens import slices
 
 SIZE, GRAM = 100, 32
 #: Context bytes that one suffix array is built over (more only where one group has more).
@@ -76,50 +83,117 @@ def interval_tree(common, size: int, left):
                 stack.append([h, node[1], node[2]])
 
 
+def maximal(heads, size: int):
+    """Columns (group, doc, start, length, first) of the maximal repeats of contexts (context, doc, start): all occurrences of each."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    contexts = [h[0] for h in heads]
+    n = np.array([len(c) for c in contexts], "i8")
+    offset = np.cumsum(n) - n
+    count = n - size + 1
+    owner = np.repeat(np.arange(len(heads)), count)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    joined = b"".join(contexts)
+    text = np.frombuffer(joined, "u1")
+    starts, lengths = offset[owner] + inside, n[owner] - inside
+    order, common = enhanced_suffix_array(text, starts, lengths, int(n.max()))
+    left = np.where(inside > 0, text[starts - 1].astype("i4"), -1)[order]  # a repeat may go on to the left of a context, where another file has it
+    doc = np.array([h[1] for h in heads], "i8")[owner][order]
+    place = (np.array([h[2] for h in heads], "i8")[owner] + inside)[order]
+    begins = starts[order]
+    out = []
+    for length, first, last in interval_tree(common, size, left):
+        d, p, at = doc[first : last + 1], place[first : last + 1], int(begins[first])
+        earliest = np.lexsort((p, d))[0] if last - first > 1 else int((d[1], p[1]) < (d[0], p[0]))
+        flags = np.zeros(len(d), bool)
+        flags[earliest] = True
+        group = xxh64_intdigest(joined[at : at + length]) - (1 << 63)
+        out.append((np.full(len(d), group), d, p, np.full(len(d), length, "i4"), flags))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
+
+
 def resolve(size: int):
-    """From sorted (group, doc, start, context) rows to the maximal repeats of each batch of groups."""
+    """From files of contexts, sorted by (file, salt, context, doc, start), to the repeats of every file: RESOLVED rows.
+
+    Neighbours whose common prefix is the whole context are one suffix with several places: they are told as they come, and only the
+    first of them enters the file's array. Of a salted part of a file, each such suffix is handed on instead.
+    """
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-
-        for rows in whole_groups(batches, ARRAY_BYTES):
-            contexts = [r[3] for r in rows]
-            n = np.array([len(c) for c in contexts], "i8")
-            offset = np.cumsum(n) - n
-            count = n - size + 1
-            owner = np.repeat(np.arange(len(rows)), count)
-            inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            text = np.frombuffer(b"".join(contexts), "u1")
-            starts, lengths = offset[owner] + inside, n[owner] - inside
-            order, common = enhanced_suffix_array(text, starts, lengths, int(n.max()))
-            left = np.where(inside > 0, text[starts - 1].astype("i4"), -1)[order]  # what precedes a context is another file's matter
-            doc = np.array([r[1] for r in rows], "i8")[owner][order]
-            place = (np.array([r[2] for r in rows], "i8")[owner] + inside)[order]
-            out = []
-            for length, first, last in interval_tree(common, size, left):
-                d, p = doc[first : last + 1], place[first : last + 1]
-                earliest = np.lexsort((p, d))[0] if last - first > 1 else int((d[1], p[1]) < (d[0], p[0]))
-                flags = np.zeros(len(d), bool)
-                flags[earliest] = True
-                out.append((np.full(len(d), rows[0][0] ^ first), d, p, np.full(len(d), length, "i4"), flags))
+        from xxhash import xxh64_intdigest
+
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+        names = ["group", "doc", "start", "length", "first", "context", "reach", "before", "copies"]
+
+        def rows(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+        def found(heads):
+            cols = maximal(heads, size)
+            if cols is not None:
+                arrays = [pa.array(c, t) for c, t in zip(cols, types[:5], strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(cols[0]), t) for t in types[5:]], names=names)
+
+        out, held, held_bytes, heads = [], [], 0, []
+        file = head = None  # head: [context, doc, start, reach, before, copies, group]
+
+        def close_head():
+            if head is None:
+                return
+            context, doc, start, reach, before, copies, group = head
+            if file[1] >= 0:
+                out.append((file[0], doc, start, len(context), False, context, reach, before, copies))
+                return
+            if copies > 1:
+                out.append((group, doc, start, reach, True, None, None, None, None))
+            heads.append((context, doc, start))
+
+        for batch in slices(batches, 4096):
+            for group, salt, doc, start, context, reach, before, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if head is not None and file == (group, salt) and context == head[0]:
+                    out.append((head[6], doc, start, reach, False, None, None, None, None))
+                    head[5] += copies
+                    continue
+                close_head()
+                if file != (group, salt):
+                    if len(heads) > 1:  # one suffix alone has no neighbour
+                        held += heads
+                        held_bytes += sum(len(h[0]) for h in heads)
+                    heads = []
+                    if held_bytes >= ARRAY_BYTES:
+                        yield from found(held)
+                        held, held_bytes = [], 0
+                file, head = (group, salt), [context, doc, start, reach, before, copies, xxh64_intdigest(context) - (1 << 63)]
             if out:
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["group", "doc", "start", "length", "first"])
+                yield rows(out)
+                out.clear()
+        close_head()
+        if len(heads) > 1:
+            held += heads
+        if out:
+            yield rows(out)
+        if held:
+            yield from found(held)
 
     return run
 
 
-def maximal_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a key, and (group, doc, start, length, first): every group of equal byte runs with all occurrences."""
-    win = Windows(size, gram, "bytes")
+def maximal_repeats(docs: DataFrame, size: int = SIZE, gram: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a key, and (group, doc, start, length, first): groups of equal byte runs with their occurrences.
+
+    Of equal contexts only the first enters a file with others, so a group of different contexts lists one place for each, and
+    the group of that context lists its copies.
+    """
+    win = Windows(size, min(GRAM, max(1, size // 3)) if gram is None else gram, "bytes")
     rows, unique = keyed_windows(docs)
-    return rows, repeats(unique, win, resolve(size))
+    return rows, array_repeats(unique, win, resolve(size))
 
 
-def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, length) in bytes that are removed, which may overlap; null for none."""
-    rows, found = maximal_repeats(docs, size)
+def dedup(docs: DataFrame, size: int = SIZE, gram: int | None = None) -> DataFrame:
+    """``docs`` with ``SPANS``: array of (start, length) in bytes that are removed, which may overlap; null for none."""
+    rows, found = maximal_repeats(docs, size, gram)
     return with_spans(rows, found)
 
 
@@ -129,7 +203,7 @@ def digests(cut: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, at, hashed = (text or "").encode(), 0, hashlib.sha256()
@@ -144,7 +218,7 @@ def digests(cut: DataFrame) -> DataFrame:
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    rows = cut.select(F.col("doc_id").cast("long"), "text", "spans")
+    rows = cut.select(F.col("doc_id").cast("long"), "text", SPANS)
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -154,9 +228,9 @@ def without_repeats(cut: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(SPANS).to_pylist(), strict=True):
                 if text is None or not spans:
                     texts.append(text)
                     continue
@@ -171,8 +245,8 @@ def without_repeats(cut: DataFrame) -> DataFrame:
                         at = b
                 kept.append(raw[at:])
                 texts.append(b"".join(kept).decode())
-            names = [c for c in batch.schema.names if c != "spans"]
+            names = [c for c in batch.schema.names if c != SPANS]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    columns = [c for c in cut.columns if c not in (KEY, "spans") and not c.startswith(P)]
-    return cut.select(*columns, "spans").mapInArrow(run, cut.select(*columns).schema)
+    columns = [quoted(c) for c in cut.columns if c not in (KEY, SPANS)]
+    return cut.select(*columns, SPANS).mapInArrow(run, cut.select(*columns).schema)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quillon.llm import substring, suffix
+from quillon.llm import anchors, substring, suffix
 from quillon.llm.anchors import Windows, chunk_anchors, token_hashes
 
 
@@ -131,3 +131,134 @@ def test_equal_windows_have_equal_anchors(kind):
             windows.setdefault(tuple(tokens[d][start : start + win.size]), set()).add((g, p - start))
     assert all(len(v) == 1 for v in windows.values())
     assert sum(len(t) - win.size + 1 for t in tokens) >= len(windows) > 0
+
+
+@pytest.mark.parametrize("size", [20, 60, 250, 400, 500])
+def test_other_sizes_equal_brute_force(docs, size):
+    rng, rows = random.Random(size), cases(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    rows += [(50, long[:1500] + "X" * 700), (51, "Y" + long[300:1400] + "Z" + long[:800]), (52, long[299:1401])]
+    assert collected(suffix.digests(suffix.dedup(docs(rows), size))) == expected_bytes(rows, size)
+    if size < 100:
+        assert collected(substring.digests(substring.dedup(docs(rows), size // 2))) == expected_words(rows, size // 2)
+
+
+def test_sizes_that_cannot_be_anchored(docs):
+    for size in (0, 1, 1 << 17):
+        with pytest.raises(ValueError):
+            suffix.dedup(docs([]), size)
+
+
+def test_without_the_array_nothing_is_removed(docs, monkeypatch):
+    """The files alone remove nothing: what repeats is told by suffixes and their common prefixes."""
+    def none(size):
+        def run(batches):
+            for _ in batches:
+                pass
+            yield from ()
+        return run
+
+    rows = [(i, PART * 3) for i in range(5)] + [(9, "start " + PART)]
+    assert any(r[2] for r in collected(suffix.digests(suffix.dedup(docs(rows)))))
+    monkeypatch.setattr(suffix, "resolve", none)
+    assert not any(r[2] for r in collected(suffix.digests(suffix.dedup(docs(rows)))))
+
+
+PART = "seven wise men watch from a hill and talk about the rain that fell on the plain while cats slept near the stove and dogs ran "
+
+
+def test_every_repeated_window_has_a_group_with_every_text_it_stands_in(docs):
+    rows = cases(5)[:20]
+    _, found = suffix.maximal_repeats(docs(rows))
+    raw, groups, copies = {i: t.encode() for i, t in rows}, {}, {}
+    for r in found.collect():
+        run = raw[r["doc"]][r["start"] : r["start"] + r["length"]]
+        groups.setdefault(r["group"], set()).add((r["doc"], r["start"], r["length"]))
+        copies.setdefault((r["group"], run), set()).add((r["doc"], r["start"]))
+    for g in groups.values():  # occurrences of a group are equal bytes, but for runs that go on
+        least = min(n for *_, n in g)
+        assert len({raw[d][s : s + least] for d, s, _ in g}) == 1
+    link, windows = {}, {}
+
+    def root(x):
+        while link.setdefault(x, x) != x:
+            x = link[x]
+        return x
+
+    for g in groups.values():
+        first = min(g)
+        for d, s, n in g:
+            for j in range(n - 99):
+                a = root((d, s + j))
+                b = root((first[0], first[1] + j % (first[2] - 99)))
+                link[a] = b
+    for i, t in raw.items():
+        for j in range(len(t) - 99):
+            windows.setdefault(t[j : j + 100], []).append((i, j))
+    for places in windows.values():
+        assert len({root(p) for p in places}) == 1  # groups and the copies of their contexts join all places of a window
+
+
+def test_hot_files_are_dealt_to_many_tasks(docs, monkeypatch):
+    monkeypatch.setattr(anchors, "HOT", 10)
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = [(i, noise(30) + PART + noise(30) + PART[:70] + noise(60)) for i in range(120)] + [(200 + i, PART * 2) for i in range(60)]
+    assert collected(suffix.digests(suffix.dedup(docs(rows)))) == expected_bytes(rows, 100)
+
+
+def test_long_texts_are_cut_into_segments(docs, monkeypatch):
+    monkeypatch.setattr(anchors, "CHUNK", 300)
+    rng = random.Random(6)
+    long = " ".join(rng.choice(["ab", "cde", "f", "ghij"]) for _ in range(3000))
+    rows = [(1, long), (2, long[777:5000] + "x" + long[100:900]), (3, "q" * 1500), *cases(7)[:10]]
+    win = anchors.Windows(100, 32, "bytes")
+    parts = list(anchors._segments(long.encode(), win))
+    assert len(parts) > 20 and max(len(h) for _, h in parts) <= 399
+    monkeypatch.undo()
+    assert collected(suffix.digests(suffix.dedup(docs(rows)))) == expected_bytes(rows, 100)
+    with monkeypatch.context() as m:
+        m.setattr(anchors, "CHUNK", 300)
+        for kind, w in (("bytes", win), ("words", anchors.Windows(20, 10, "words"))):
+            data = long.encode()
+            tokens = list(data) if kind == "bytes" else data.split()
+            seen = set()
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pydict({"k": pa.array([5], pa.int64()), "t": pa.array([long])})
+            for _, (_, _, _, _, place, before, least) in anchors._chunks([batch], w):
+                for p, b, e in zip(place, before, least, strict=True):
+                    seen.update(range(p - b, p - e + 1))
+            assert seen == set(range(len(tokens) - w.size + 1))  # every window has an anchor
+
+
+def test_memory_of_a_very_long_text():
+    """20 MB of text are anchored within 300 MB."""
+    import resource
+    import subprocess
+    import sys
+
+    code = (
+        "import pyarrow as pa, resource, random\n"
+        "from quillon.llm import anchors as a\n"
+        "t = ''.join(chr(97 + i * i % 26) for i in range(1000)) * 20000\n"
+        "b = pa.RecordBatch.from_pydict({'k': pa.array([1], pa.int64()), 't': pa.array([t])})\n"
+        "list(len(f[0]) for _, f in a._chunks([b.slice(0, 0)], a.Windows(100, 32, 'bytes')))\n"
+        "m = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "print(sum(len(f[0]) for _, f in a._chunks([b], a.Windows(100, 32, 'bytes'))), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - m) // 1024)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 100_000 and int(out[1]) < 300 and resource
+
+
+def test_names_that_clash(docs, spark):
+    from pyspark.sql import functions as F
+
+    rows = docs([(1, PART * 2), (2, PART), (2, PART), (None, PART), (None, None), (3, "")])
+    names = ["spans", "wanted", "doc", "at", "fp", "kept", "n_removed", "length", "start", "text2"]
+    clash = rows.withColumns({c: F.lit(c) for c in names})
+    out = suffix.without_repeats(suffix.dedup(clash))
+    assert out.columns == clash.columns and out.count() == 6
+    assert all(tuple(r[c] for c in names) == tuple(names) for r in out.collect())
+    assert collected(suffix.digests(suffix.dedup(clash))) == collected(suffix.digests(suffix.dedup(rows)))
+    assert collected(substring.digests(substring.dedup(clash))) == collected(substring.digests(substring.dedup(rows)))
