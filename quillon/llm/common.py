@@ -5,9 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The six ASCII characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -48,18 +47,28 @@ def quoted(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one of its own; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillon-"))
-    return sc.getCheckpointDir().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if spark not in _OWN:
+        _OWN[spark] = "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return _OWN[spark]
+
+
+_OWN: dict[SparkSession, str] = {}
+
+
+def scratch_prefix(spark: SparkSession) -> str:
+    """What the paths of this application's scratch tables begin with."""
+    return f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}-"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+    return f"{scratch_prefix(spark)}{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -70,9 +79,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this folder; call it when no lazy result still reads them."""
-    jvm, base = spark.sparkContext._jvm, shared_dir(spark)
-    path = jvm.org.apache.hadoop.fs.Path(base + "/quillon-*")
+    """Delete this application's scratch tables; call it when no lazy result still reads them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_prefix(spark) + "*")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for found in fs.globStatus(path) or []:
         fs.delete(found.getPath(), True)
@@ -102,17 +111,27 @@ def keyed_rows(docs: DataFrame, key: str = P + "doc") -> tuple[DataFrame, DataFr
     """``docs`` with a long ``key`` that orders distinct documents and is never null; and one row for each key.
 
     Where ``doc_id`` is unique and never null, it is the key. Else keys are ranks over (doc_id with nulls first,
-    XXH64 of the text): rows that agree in both are one document and share a key.
+    XXH64 and MD5 of the text): rows that agree in all of them are one document and share a key.
     """
     if plain_ids(docs):
         out = docs.withColumn(key, F.col("doc_id").cast("long"))
         return out, out
-    tie = P + "tie"
-    marked = docs.withColumn(tie, F.xxhash64("text"))
-    distinct = marked.select("doc_id", tie).distinct().orderBy(F.col("doc_id").asc_nulls_first(), tie)
-    kind = T.StructType().add(P + "id", docs.schema["doc_id"].dataType).add(P + "t", "long").add(key, "long")
-    ranks = docs.sparkSession.createDataFrame(distinct.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), kind)
-    ranks = materialize(ranks, "keys")
-    on = marked["doc_id"].eqNullSafe(ranks[P + "id"]) & (marked[tie] == ranks[P + "t"])
-    out = marked.join(ranks, on).select(*[marked[c] for c in docs.columns], ranks[key])
+    tie, text = [P + "tie", P + "md5"], F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumn(tie[0], F.xxhash64("text")).withColumn(tie[1], F.concat(F.md5(text), F.isnull("text").cast("string")))
+    distinct = marked.select(F.col("doc_id").alias(P + "id"), *tie).distinct()
+    ranks = ranked(distinct, [F.col(P + "id").asc_nulls_first(), *map(F.col, tie)], key)
+    on = marked["doc_id"].eqNullSafe(ranks[P + "id"]) & (marked[tie[0]] == ranks[tie[0]]) & (marked[tie[1]] == ranks[tie[1]])
+    out = marked.join(ranks, on).select(*(marked[quoted(c)] for c in docs.columns), ranks[key])
     return out, out.dropDuplicates([key])
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their places from 0 in this order: places inside ranges of the order, and what stands in the ranges before."""
+    part, inside = P + "part", P + "inside"
+    apart = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    apart = apart.withColumn(part, F.spark_partition_id()).withColumn(inside, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    apart = materialize(apart, "ranks")
+    sizes = apart.groupBy(part).count()
+    before = F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = sizes.select(part, F.coalesce(before, F.lit(0)).alias(P + "start"))
+    return apart.join(F.broadcast(starts), part).select(*rows.columns, (F.col(inside) + F.col(P + "start")).alias(name))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BROADCAST_ROWS, P, checked, keyed, let, materialize
+from quillon.llm.common import BROADCAST_ROWS, P, checked, keyed, let, materialize, quoted
 from quillon.llm.quality import joined, pair_hashes
 
 SHINGLE, THRESHOLD_TENTHS = 5, 8
@@ -81,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, most: int = BROADCAST
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, most: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     bad = materialize(contaminated(docs, benchmark, most=most).select(P + "doc").distinct(), "leaks")
-    return keyed(docs).join(checked(bad, bad.count(), most), P + "doc", "left_anti").select(*docs.columns)
+    return keyed(docs).join(checked(bad, bad.count(), most), P + "doc", "left_anti").select(*map(quoted, docs.columns))
 
 
 def oracle() -> str:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import P, let, words
+from quillon.llm.common import P, add_columns, let, words
 
 #: Hash buckets of both multinomials; bounds the weight array that reaches every task.
 BUCKETS = 1 << 14
@@ -100,33 +100,36 @@ def weights(docs: DataFrame, trusted: DataFrame, count: int = BUCKETS, *, single
 def score_quality(
     docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, most: int = TARGET_DOCS, singles: bool = False
 ) -> DataFrame:
-    """``docs`` with the statistics, ``base_failed``, ``llr`` (null without n-grams) and ``kept``; ``singles`` scores words beside pairs."""
-    w, text = F.col(P + "words"), F.coalesce(F.col("text"), F.lit(""))
-    h2, h8, n = F.col(P + "h2"), F.col(P + "h8"), F.size(P + "words")
+    """``docs`` with the statistics, ``base_failed``, ``llr`` (null without n-grams) and ``kept``; ``singles`` scores words beside pairs.
+
+    The table's own columns stay as they are; a result whose name is taken gets the prefix ``out_``.
+    """
+    own = {c: P + c for c in ("words", "w", "h2", "h8", "sum", "n_words", "n_repeat_words", "llr", "base_failed")}
+    at = {c: F.col(name) for c, name in own.items()}
+    text = F.coalesce(F.col("text"), F.lit(""))
+    w, h2, h8, n = at["words"], at["h2"], at["h8"], F.size(own["words"])
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
-    out = docs.withColumn(P + "words", words(F.col("text"))).withColumn(P + "w", weights(docs, trusted_ids(labels, most), singles=singles))
-    out = out.withColumn(P + "h2", pair_hashes(w))
+    out = docs.withColumn(own["words"], words(F.col("text"))).withColumn(own["w"], weights(docs, trusted_ids(labels, most), singles=singles))
+    out = out.withColumn(own["h2"], pair_hashes(w))
     last = F.greatest(n - (WINDOW - 1), F.lit(0))
-    out = out.withColumn(P + "h8", F.slice(joined(joined(h2, 2), 4), F.lit(1), last))
-    out = out.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": F.when(F.size(F.array_distinct(h8)) == F.size(h8), F.lit(0)).otherwise(covered_words(h8)).cast("long"),
-            P + "sum": F.aggregate(
-                F.slice(h2, F.lit(1), F.greatest(n - 1, F.lit(0))),
-                F.lit(0.0),
-                lambda s, h: s + F.get(F.col(P + "w"), bucket(h)),
-            ),
-        }
-    )
-    llr = F.when(F.col("n_words") > 1, F.col(P + "sum") / (F.col("n_words") - 1))
+    out = out.withColumn(own["h8"], F.slice(joined(joined(h2, 2), 4), F.lit(1), last))
+    score = F.aggregate(F.slice(h2, F.lit(1), F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda s, h: s + F.get(at["w"], bucket(h)))
+    repeated = F.when(F.size(F.array_distinct(h8)) == F.size(h8), F.lit(0)).otherwise(covered_words(h8)).cast("long")
+    out = out.withColumns({own["n_words"]: n.cast("long"), own["n_repeat_words"]: repeated, own["sum"]: score})
+    llr = F.when(at["n_words"] > 1, at["sum"] / (at["n_words"] - 1))
     if singles:
-        one = F.aggregate(w, F.lit(0.0), lambda s, x: s + F.get(F.col(P + "w"), bucket(F.xxhash64(x)) + BUCKETS))
-        llr = F.when(F.col("n_words") > 0, one / F.col("n_words") + F.coalesce(llr, F.lit(0.0)))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumn("llr", llr).withColumn("base_failed", failed)
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
-    return out.drop(*(P + c for c in ("words", "w", "h2", "h8", "sum")))
+        one = F.aggregate(w, F.lit(0.0), lambda s, x: s + F.get(at["w"], bucket(F.xxhash64(x)) + BUCKETS))
+        llr = F.when(at["n_words"] > 0, one / at["n_words"] + F.coalesce(llr, F.lit(0.0)))
+    failed = (at["n_words"] < MIN_WORDS) | (100 * at["n_repeat_words"] > MAX_REPEAT_PERCENT * at["n_words"])
+    out = out.withColumn(own["llr"], llr).withColumn(own["base_failed"], failed)
+    results = {
+        "n_words": at["n_words"],
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": at["n_repeat_words"],
+        "base_failed": at["base_failed"],
+        "llr": at["llr"],
+        "kept": ~at["base_failed"] & F.coalesce(at["llr"] >= threshold, F.lit(False)),
+    }
+    return add_columns(out, results, docs.columns)

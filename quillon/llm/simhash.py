@@ -21,7 +21,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import P, keyed, materialize
+from quillon.llm.common import P, free_name, keyed, materialize, quoted
 from quillon.llm.components import components
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -29,6 +29,8 @@ SHINGLE, SEED, BITS = 4, 42, 4
 SEGMENTS, GENERATOR, LENGTH = ((0, 21), (21, 21), (42, 22)), 0xC75, 23
 #: Members of a file up to which one task compares it; bound of the table of larger ones for a broadcast; small groups.
 HOT, BROADCAST_ROWS, SMALL = 4000, 100_000, 8
+#: Internal columns: fingerprints, and the smallest key of a component; fingerprints a task files.
+FP, KEEPER, FILED = P + "fp", P + "keeper", 20_000
 #: Hashes that are held at once for counting bits.
 CHUNK = 1 << 18
 
@@ -70,9 +72,9 @@ def fingerprints(docs: DataFrame, column: str = "text") -> DataFrame:
                     hashes, sizes = [], []
             done.append(count(hashes, sizes))
             kept = [batch.column(c) for c in others]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(done), pa.int64())], names=[*others, "fp"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(done), pa.int64())], names=[*others, FP])
 
-    schema = docs.select(*others).schema.add("fp", "long")
+    schema = docs.select(*map(quoted, others)).schema.add(FP, "long")
     return docs.mapInArrow(run, schema)
 
 
@@ -219,16 +221,27 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with a key, ``fp``, ``component_id`` (smallest doc_id) and ``keeper`` (smallest key)."""
+    """``docs`` without text, with a key, ``fp``, ``component_id`` (smallest doc_id) and ``KEEPER`` (smallest key).
+
+    The table's own columns stay as they are; a result whose name is taken gets the prefix ``out_``.
+    """
     key = P + "doc"
     others = [c for c in docs.columns if c != "text"]
-    rows = materialize(fingerprints(keyed(docs).select(key, *others, "text")), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min(key).alias("k")), "distinct")
-    edges = materialize(links(distinct).distinct(), "links")
+    rows = materialize(fingerprints(keyed(docs).select(key, *map(quoted, others), "text")), "fingerprints")
+    distinct = materialize(rows.groupBy(F.col(FP).alias("fp")).agg(F.min("doc_id").alias("id"), F.min(key).alias("k")), "distinct")
+    parts = -(-distinct.count() // FILED)
+    edges = materialize(links(distinct.repartition(max(1, parts), "fp")).distinct(), "links")
     roots = components(edges)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         distinct["fp"], "id", "k", F.coalesce("root", distinct["fp"]).alias("root")
     )
     least = named.groupBy("root").agg(F.min("id").alias("component_id"), F.min("k").alias("keeper"))
-    of = materialize(named.join(least, "root").select("fp", "component_id", F.col("keeper").alias(P + "keeper")), "classes")
-    return rows.join(of, "fp").select(key, *others, "fp", "component_id", P + "keeper")
+    of = named.join(least, "root").select(F.col("fp").alias(FP), F.col("component_id").alias(P + "component"), F.col("keeper").alias(KEEPER))
+    out = rows.join(materialize(of, "classes"), FP)
+    return out.select(
+        key,
+        *(F.col(quoted(c)) for c in others),
+        F.col(FP).alias(free_name("fp", others)),
+        F.col(P + "component").alias(free_name("component_id", others)),
+        KEEPER,
+    )
