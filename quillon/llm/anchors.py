@@ -24,8 +24,8 @@ from quillon.llm.tokens import slices
 KEY = P + "doc"
 #: Tokens that are worked on at once; longer documents are cut into segments that overlap.
 CHUNK = 1 << 18
-#: Rows of a group beyond which it is split over tasks.
-HOT = 2000
+#: Rows of a file beyond which it is split over tasks, and different contexts of a file that one task holds.
+HOT, MOST_CONTEXTS = 2000, 100_000
 ANCHORS = "gram long, span long, sides long, doc long, at long, more binary"
 CLASSES = "kind int, group long, doc long, at long, length int, first boolean"
 
@@ -101,6 +101,17 @@ def token_hashes(text: bytes, kind: str):
     return np.fromiter(map(xxh64_intdigest, w), "u8", len(w))
 
 
+def window_hashes(text: bytes, size: int):
+    """A hash of the ``size`` bytes from every place of a text on (of none in the last places)."""
+    import numpy as np
+
+    h = token_hashes(text, "bytes")
+    up, down = _powers(0x9E3779B97F4A7C15).get(len(h) + 1)
+    sums = np.zeros(len(h) + 1, "u8")
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down[: max(0, len(h) - size + 1)], 71)
+
+
 def chunk_anchors(hashes: list, win: Windows):
     """Arrays (document in the chunk, gram, span, sides, place, before, least) for documents given as token hashes.
 
@@ -173,31 +184,59 @@ def _segments(text: bytes, win: Windows):
 
 
 def _chunks(batches, win: Windows):
-    """(keys of the chunk's segments, their anchors) for every chunk of every batch (key, text)."""
+    """(keys of the chunk's segments, bytes of their documents, their anchors) for every chunk of every batch (key, text)."""
     import numpy as np
 
-    def whole(keys, firsts, hashes):
+    def whole(keys, raws, firsts, hashes):
         found = chunk_anchors(hashes, win)
         if found is not None:
             doc, gram, span, sides, place, before, least = found
             found = doc, gram, span, sides, place + np.array(firsts, "i8")[doc], before, least
-        return np.array(keys, "i8"), found
+        return np.array(keys, "i8"), raws, found
 
-    keys, firsts, hashes, held = [], [], [], 0
+    keys, raws, firsts, hashes, held = [], [], [], [], 0
     for batch in slices(batches):
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for first, h in _segments((text or "").encode(), win):
+            raw = (text or "").encode()
+            for first, h in _segments(raw, win):
                 if len(h) < win.size:
                     continue
                 if held and held + len(h) > CHUNK:
-                    yield whole(keys, firsts, hashes)
-                    keys, firsts, hashes, held = [], [], [], 0
+                    yield whole(keys, raws, firsts, hashes)
+                    keys, raws, firsts, hashes, held = [], [], [], [], 0
                 keys.append(k)
+                raws.append(raw)
                 firsts.append(first)
                 hashes.append(h)
                 held += len(h)
     if keys:
-        yield whole(keys, firsts, hashes)
+        yield whole(keys, raws, firsts, hashes)
+
+
+def _once(found, win: Windows, keep):
+    """Anchors that ``keep`` lets through, one a span and document; and, for those that stand again there, runs (start, length) of their other places."""
+    import numpy as np
+
+    if keep is not None:
+        good = keep(found[1])
+        found = [x[good] for x in found]
+    doc, gram, span, _, place, _, _ = found
+    order = np.lexsort((place, span, gram, doc))
+    found = doc, gram, span, _, place, before, least = [x[order] for x in found]
+    again = np.r_[False, (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1]) & (span[1:] == span[:-1])] if len(doc) else np.zeros(0, bool)
+    more = np.full(len(doc), None, object)
+    if again.any():
+        start, end = place - before, place - least + win.size
+        new = again & ~np.r_[False, again[:-1] & (start[1:] <= end[:-1])]  # a run begins
+        owner = np.maximum.accumulate(np.where(again, 0, np.arange(len(doc))))
+        at = np.flatnonzero(new)
+        last = np.maximum.reduceat(np.where(again, np.arange(len(doc)), 0), at)
+        runs = np.stack([start[at], end[last] - start[at]], axis=1).astype("<i8")
+        own = owner[at]
+        begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for i, j in zip(begins, np.r_[begins[1:], len(own)], strict=True):
+            more[own[i]] = runs[i:j].tobytes()
+    return [x[~again] for x in found], more[~again]
 
 
 def anchors(docs: DataFrame, win: Windows, keep=None) -> DataFrame:
@@ -211,36 +250,52 @@ def anchors(docs: DataFrame, win: Windows, keep=None) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for keys, found in _chunks(batches, win):
+        for keys, _, found in _chunks(batches, win):
             if found is None:
                 continue
-            if keep is not None:
-                good = keep(found[1])
-                found = [x[good] for x in found]
-            doc, gram, span, sides, place, before, least = found
-            order = np.lexsort((place, span, gram, doc))
-            doc, gram, span, sides, place, before, least = (x[order] for x in (doc, gram, span, sides, place, before, least))
-            again = np.r_[False, (doc[1:] == doc[:-1]) & (gram[1:] == gram[:-1]) & (span[1:] == span[:-1])] if len(doc) else np.zeros(0, bool)
-            more = np.full(len(doc), None, object)
-            if again.any():
-                start, end = place - before, place - least + win.size
-                new = again & ~np.r_[False, again[:-1] & (start[1:] <= end[:-1])]  # a run begins
-                owner = np.maximum.accumulate(np.where(again, 0, np.arange(len(doc))))
-                at = np.flatnonzero(new)
-                last = np.maximum.reduceat(np.where(again, np.arange(len(doc)), 0), at)
-                runs = np.stack([start[at], end[last] - start[at]], axis=1).astype("<i8")
-                own = owner[at]
-                begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                for i, j in zip(begins, np.r_[begins[1:], len(own)], strict=True):
-                    more[own[i]] = runs[i:j].tobytes()
-            once = ~again
+            (doc, gram, span, sides, place, before, least), more = _once(found, win, keep)
             cols = [gram.view("i8"), span.view("i8"), sides.view("i8"), keys[doc], place << 32 | before << 16 | least]
-            out = [pa.array(np.ascontiguousarray(c[once])) for c in cols] + [pa.array(more[once], pa.binary())]
+            out = [pa.array(np.ascontiguousarray(c)) for c in cols] + [pa.array(more, pa.binary())]
             yield pa.RecordBatch.from_arrays(out, names=["gram", "span", "sides", "doc", "at", "more"])
 
     return docs.select(KEY, "text").mapInArrow(run, ANCHORS)
 
 
+def contexts(docs: DataFrame, win: Windows, keep, *, bytes_: bool = True) -> DataFrame:
+    """CONTEXTS of every anchor of bytes that ``keep`` lets through, filed by its gram; without bytes, the files alone."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for keys, raws, found in _chunks(batches, win):
+            if found is None:
+                continue
+            (doc, gram, _, _, place, before, least), more = _once(found, win, keep)
+            file = np.ascontiguousarray(gram.view("i8"))
+            if not bytes_:
+                yield pa.RecordBatch.from_arrays([pa.array(file)], names=["file"])
+                continue
+            start, size = place - before, before - least + win.size
+            own = doc.tolist()
+            cut = [raws[d][a : a + n] for d, a, n in zip(own, start.tolist(), size.tolist(), strict=True)]
+            yield _rows(file, keys[doc], start, cut, size)
+            has = np.flatnonzero(np.not_equal(more, None))
+            if len(has):  # a run starts with the span that it repeats
+                each = [np.frombuffer(more[i], "<i8").reshape(-1, 2) for i in has]
+                all_, of = np.concatenate(each), np.repeat(has, [len(e) for e in each])
+                cut = [raws[d][a : a + n] for d, a, n in zip(doc[of].tolist(), all_[:, 0].tolist(), size[of].tolist(), strict=True)]
+                yield _rows(file[of], keys[doc[of]], all_[:, 0].copy(), cut, all_[:, 1])
+
+    def _rows(file, doc, start, cut, reach):
+        import pyarrow as pa
+
+        cols = [pa.array(file), pa.array(doc), pa.array(start), pa.array(cut, pa.binary()), pa.array(reach.astype("i4"))]
+        return pa.RecordBatch.from_arrays(cols, names=["file", "doc", "start", "context", "reach"])
+
+    return docs.select(KEY, "text").mapInArrow(run, CONTEXTS if bytes_ else "file long")
+
+
 def classes(rows: DataFrame, win: Windows) -> DataFrame:
     """Kind 0: an occurrence of a span that stands twice or more. Kind 1: a representative, filed by one side of its gram.
     Kind 2: a run (at, length) that further places of the same span in the same document cover.
@@ -359,54 +414,53 @@ def repeats(unique: DataFrame, win: Windows, resolve, keep=None) -> DataFrame:
     whole = whole.unionByName(found.where("kind = 2").select("group", "doc", F.shiftright("at", 32).alias("start"), "length", "first"))
     some = materialize(candidates(found), "candidates")
     wanted = some.groupBy("doc").agg(F.collect_list(F.struct("group", "at")).alias("wanted"))
-    contexts = _fetch(unique.join(wanted.withColumnRenamed("doc", P + "of"), F.col(KEY) == F.col(P + "of"), "left"), win).select("group", "doc", "start", "context")
-    part = contexts.repartition("group").sortWithinPartitions("group", "doc", "start").mapInArrow(resolve, REPEATS)
+    cut = _fetch(unique.join(wanted.withColumnRenamed("doc", P + "of"), F.col(KEY) == F.col(P + "of"), "left"), win)
+    part = cut.repartition("group").sortWithinPartitions("group", "doc", "start").mapInArrow(resolve, REPEATS)
     return whole.unionByName(part)
 
 
-def array_repeats(unique: DataFrame, win: Windows, resolve) -> DataFrame:
-    """As ``repeats``, but every occurrence is resolved by its bytes; hashes only tell which contexts meet.
+def array_repeats(unique: DataFrame, win: Windows, resolve, keep) -> DataFrame:
+    """As ``repeats`` over bytes, but every occurrence is told by the bytes of its context; hashes only decide which contexts meet.
 
-    The contexts of a file are sorted by Spark and handed to ``resolve``. A file of copies with over ``HOT`` rows is dealt to
-    about the square root of as many tasks, and what each of them keeps of it (a row a context) meets once more. A file of different contexts
-    with over ``HOT`` rows is refiled by every single window.
+    A file of over ``HOT`` rows is dealt to about the square root of as many tasks, and what each of them keeps of it (a row a
+    context) meets once more. If those are over ``MOST_CONTEXTS``, they are refiled by every single window.
     """
-    found = materialize(classes(anchors(unique, win), win), "classes")
-    copies = found.where("kind in (0, 2)").select("group", "doc", "at", F.when(F.col("kind") == 2, F.col("length")).otherwise(0).alias("reach"))
-    hot = materialize(copies.groupBy("group").count().where(F.col("count") > HOT), "hot")
-    hot = hot.select(F.col("group").alias("of"), F.ceil(F.sqrt("count")).cast("int").alias("parts"))
-    copies = copies.join(checked(hot, hot.count()), F.col("group") == F.col("of"), "left")
-    salt = F.coalesce(F.pmod(F.xxhash64("doc", "at"), F.col("parts")).cast("int"), F.lit(-1))
-    copies = copies.select("group", "doc", "at", "reach", salt.alias("salt"))
-    reps = found.where("kind = 1").select("group", "doc", "at", F.count(F.lit(1)).over(Window.partitionBy("group")).alias("n")).where("n > 1")
-    reps = reps.select("group", "doc", "at", F.lit(0).alias("reach"), F.when(F.col("n") > HOT, EACH).otherwise(-1).alias("salt"))
-    wanted = copies.unionByName(reps).groupBy("doc").agg(F.collect_list(F.struct("group", "at", "reach", "salt")).alias("wanted"))
-    joined = unique.join(wanted.withColumnRenamed("doc", P + "of"), F.col(KEY) == F.col(P + "of"), "left")
-    filed = _fetch(joined, win).repartition("group", "salt").sortWithinPartitions("group", "salt", "context", "doc", "start")
-    once = materialize(filed.mapInArrow(resolve, RESOLVED), "resolved")
-    again = once.where("context is not null").select("group", F.lit(-1).alias("salt"), "doc", "start", "context", "reach", "before", "copies")
-    again = again.repartition("group").sortWithinPartitions("group", "context", "doc", "start").mapInArrow(resolve, RESOLVED)
+    hot = contexts(unique, win, keep, bytes_=False).groupBy("file").count().where(F.col("count") > HOT)
+    hot = materialize(hot.select(F.col("file").alias("of"), F.ceil(F.sqrt("count")).cast("int").alias("parts")), "hot")
+    filed = contexts(unique, win, keep).join(checked(hot, hot.count()), F.col("file") == F.col("of"), "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("doc", "start"), F.col("parts")).cast("int"), F.lit(-1))
+    filed = filed.select("file", salt.alias("salt"), "doc", "start", "context", "reach", F.lit(1).alias("copies"))
+    once = materialize(_sorted(filed).mapInArrow(resolve, RESOLVED), "resolved")
+    heads = once.where("context is not null").select(F.col("group").alias("file"), F.lit(-1).alias("salt"), "doc", "start", "context", "reach", "copies")
+    vast = materialize(heads.groupBy("file").count().where(F.col("count") > MOST_CONTEXTS).select(F.col("file").alias("of")), "vast")
+    heads = heads.join(checked(vast, vast.count()), F.col("file") == F.col("of"), "left")
+    each = F.sequence(F.lit(0), F.length("context") - win.size)
+    split = heads.where("of is not null").select("doc", "start", "context", F.explode(each).alias("i"), "copies")
+    window = F.expr(f"substring(context, i + 1, {win.size})")
+    split = split.select(F.xxhash64(window).alias("file"), F.lit(-1).alias("salt"), "doc", (F.col("start") + F.col("i")).alias("start"), window.alias("context"), F.lit(win.size).alias("reach"), "copies")
+    heads = heads.where("of is null").drop("of").unionByName(split)
+    again = _sorted(heads).mapInArrow(resolve, RESOLVED)
     columns = ["group", "doc", "start", "length", "first"]
     return once.where("context is null").select(*columns).unionByName(again.select(*columns))
 
 
+def _sorted(filed: DataFrame) -> DataFrame:
+    return filed.repartition("file", "salt").sortWithinPartitions("file", "salt", "context", "doc", "start")
+
+
 REPEATS = "group long, doc long, start long, length int, first boolean"
-#: salt: -1 for a whole file, else the part of a file; before: the byte before the context, -1 at the start of a document; copies: rows it stands for.
-CONTEXTS = "group long, salt int, doc long, start long, context binary, reach int, before int, copies int"
-RESOLVED = "group long, doc long, start long, length int, first boolean, context binary, reach int, before int, copies int"
-#: The salt that asks for a row a window.
-EACH = -2
+#: reach: bytes that the row stands for, more than its context where that repeats at once; copies: rows it stands for.
+CONTEXTS = "file long, doc long, start long, context binary, reach int"
+RESOLVED = "group long, doc long, start long, length int, first boolean, context binary, reach int, copies int"
 
 
 def _fetch(joined: DataFrame, win: Windows) -> DataFrame:
-    """The tokens that the windows of every wanted place cover: CONTEXTS."""
+    """The tokens that the windows of every wanted place cover."""
     import pyarrow as pa
 
-    schema = pa.schema([("group", pa.int64()), ("salt", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("context", pa.binary()), ("reach", pa.int32()), ("before", pa.int32()), ("copies", pa.int32())])
+    schema = pa.schema([("group", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("context", pa.binary())])
 
     def run(batches):
-        from xxhash import xxh64_intdigest
-
         out = []
         for batch in slices(batches):
             for key, text, wanted in zip(*(batch.column(c).to_pylist() for c in (KEY, "text", "wanted")), strict=True):
@@ -415,16 +469,9 @@ def _fetch(joined: DataFrame, win: Windows) -> DataFrame:
                 raw = (text or "").encode()
                 w = raw.split() if win.tokens == "words" else None
                 for x in wanted:
-                    group, salt, reach = x["group"], x.get("salt", -1), x.get("reach", 0)
-                    if reach:  # a run: its start, and the length of the span that it repeats
-                        start, end = x["at"] >> 32, (x["at"] >> 32) + (x["at"] & 0xFFFFFFFF)
-                    else:
-                        place, before, least = x["at"] >> 32, x["at"] >> 16 & 0xFFFF, x["at"] & 0xFFFF
-                        start, end = place - before, place - least + win.size
-                    for a, b in [(start, end)] if salt != EACH else [(i, i + win.size) for i in range(start, end - win.size + 1)]:
-                        cut = b" ".join(w[a:b]) if w is not None else raw[a:b]
-                        of = group if salt != EACH else xxh64_intdigest(cut) - (1 << 63)
-                        out.append((of, max(salt, -1), key, a, cut, reach or b - a, raw[a - 1] if w is None and a else -1, 1))
+                    place, before, least = x["at"] >> 32, x["at"] >> 16 & 0xFFFF, x["at"] & 0xFFFF
+                    start, end = place - before, place - least + win.size
+                    out.append((x["group"], key, start, b" ".join(w[start:end]) if w is not None else raw[start:end]))
                     if len(out) >= 10_000:
                         yield _batch(out)
                         out = []
@@ -434,7 +481,7 @@ def _fetch(joined: DataFrame, win: Windows) -> DataFrame:
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.select(KEY, "text", "wanted").mapInArrow(run, CONTEXTS)
+    return joined.select(KEY, "text", "wanted").mapInArrow(run, "group long, doc long, start long, context binary")
 
 
 def whole_groups(batches, most: int):

@@ -39,7 +39,7 @@ def sketch(unique: DataFrame, win: Windows, cells: int):
         import pyarrow as pa
 
         own = [[] for _ in range(ROWS)]
-        for _, found in _chunks(batches, win):
+        for _, _, found in _chunks(batches, win):
             if found is None:
                 continue
             for r in range(ROWS):
@@ -120,6 +120,15 @@ def estimated_repeated(bits, cells: int):
     return keep
 
 
+def prefilter(unique: DataFrame, win: Windows, cells: int | None = None):
+    """``keep`` for anchors of these documents (key, text): those that the merged sketch counted twice or more, none of the repeated ones lost."""
+    if cells is None:
+        total = unique.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (total // BYTES_A_CELL).bit_length()))
+    bits = unique.sparkSession.sparkContext.broadcast(sketch(unique, win, cells))  # bounded by MOST_CELLS
+    return estimated_repeated(bits, cells)
+
+
 def resolve(size: int):
     """From sorted (group, doc, start, context) rows to groups of equal windows, compared by their words."""
 
@@ -148,12 +157,7 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int | None = None, cells: int
     """``docs`` with ``SPANS``: array of (start, length) in words that are removed, which may overlap; null for none."""
     win = Windows(size, min(GRAM, max(1, size // 2)) if gram is None else gram, "words")
     rows, unique = keyed_windows(docs)
-    if cells is None:
-        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (total // BYTES_A_CELL).bit_length()))
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(unique, win, cells))  # bounded by MOST_CELLS
-    found = repeats(unique, win, resolve(size), estimated_repeated(bits, cells))
-    return with_spans(rows, found)
+    return with_spans(rows, repeats(unique, win, resolve(size), prefilter(unique, win, cells)))
 
 
 def digests(cut: DataFrame) -> DataFrame:

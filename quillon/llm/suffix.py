@@ -1,7 +1,7 @@
 """Suffix-array dedup: maximal repeats of bytes from the common-prefix interval tree of an enhanced suffix array.
 
 Texts are filed by anchors (see ``anchors``) so that equal windows meet: a file holds the contexts of one anchor, that is the bytes that its windows
-cover. Hashes only decide who meets; what repeats is told by the array alone. Spark sorts the contexts of a file; neighbours whose common prefix is the whole
+cover, unless a merged sketch tells that the anchor stands but once. Hashes only decide who meets; what repeats is told by the array alone. Spark sorts the contexts of a file; neighbours whose common prefix is the whole
 context are one suffix with several places. The different contexts enter an array: the suffixes that start a window are sorted, and the array of
 common-prefix lengths with the neighbour is scanned with a stack. Every interval whose suffixes share ``size`` bytes or more is a node of the tree. A node whose suffixes are not
 all preceded by the same byte can't be extended to the left; it is output as a maximal repeat with all its occurrences. A context reaches at most
@@ -11,7 +11,7 @@ counts as maximal there.
 Removed is every byte of an occurrence but the earliest of its group, that is, every byte covered by a ``size``-byte string that
 also starts earlier (smaller document key, or same document and earlier start).
 
-Groups of copies are streamed, and large ones dealt to many tasks; what is held of a file is its different contexts, ``anchors.HOT`` at most. Long texts are
+Groups of copies are streamed, and large ones dealt to many tasks; what is held of a file is its different contexts, ``anchors.MOST_CONTEXTS`` at most. Long texts are
 anchored in overlapping segments.
 
 Defined cases: null texts are empty and lose nothing; texts shorter than ``size`` never lose a byte. Rows that agree in id
@@ -26,13 +26,14 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.anchors import KEY, SPANS, Windows, array_repeats, keyed_windows, merged, with_spans
+from quillon.llm.anchors import KEY, SPANS, Windows, array_repeats, keyed_windows, merged, window_hashes, with_spans
 from quillon.llm.common import quoted
+from quillon.llm.substring import prefilter
 from quillon.llm.tokens import slices
 
 SIZE, GRAM = 100, 32
-#: Context bytes that one suffix array is built over (more only where one group has more).
-ARRAY_BYTES = 1 << 20
+#: Context bytes that are held for one array (more only where one file has more), and suffixes of a part of it (more only where they share ``size`` bytes).
+ARRAY_BYTES, ARRAY_SUFFIXES = 1 << 20, 1 << 18
 
 
 def enhanced_suffix_array(text, starts, lengths, width: int):
@@ -84,7 +85,11 @@ def interval_tree(common, size: int, left):
 
 
 def maximal(heads, size: int):
-    """Columns (group, doc, start, length, first) of the maximal repeats of contexts (context, doc, start): all occurrences of each."""
+    """Columns (group, doc, start, length, first) of the maximal repeats of contexts (context, doc, start): all occurrences of each.
+
+    Suffixes that share ``size`` bytes share a hash of these, so the array is built over those only whose hash repeats, and in parts
+    that no hash crosses.
+    """
     import numpy as np
     from xxhash import xxh64_intdigest
 
@@ -96,20 +101,31 @@ def maximal(heads, size: int):
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     joined = b"".join(contexts)
     text = np.frombuffer(joined, "u1")
-    starts, lengths = offset[owner] + inside, n[owner] - inside
-    order, common = enhanced_suffix_array(text, starts, lengths, int(n.max()))
-    left = np.where(inside > 0, text[starts - 1].astype("i4"), -1)[order]  # a repeat may go on to the left of a context, where another file has it
-    doc = np.array([h[1] for h in heads], "i8")[owner][order]
-    place = (np.array([h[2] for h in heads], "i8")[owner] + inside)[order]
-    begins = starts[order]
-    out = []
-    for length, first, last in interval_tree(common, size, left):
-        d, p, at = doc[first : last + 1], place[first : last + 1], int(begins[first])
-        earliest = np.lexsort((p, d))[0] if last - first > 1 else int((d[1], p[1]) < (d[0], p[0]))
-        flags = np.zeros(len(d), bool)
-        flags[earliest] = True
-        group = xxh64_intdigest(joined[at : at + length]) - (1 << 63)
-        out.append((np.full(len(d), group), d, p, np.full(len(d), length, "i4"), flags))
+    starts = offset[owner] + inside
+    windows = window_hashes(joined, size)[starts]
+    by_hash = np.argsort(windows, kind="stable")
+    sorted_ = windows[by_hash]
+    alike = sorted_[1:] == sorted_[:-1]
+    shared = by_hash[np.r_[False, alike] | np.r_[alike, False]]
+    if not len(shared):
+        return None
+    new = np.r_[True, windows[shared][1:] != windows[shared][:-1]]
+    begins = np.flatnonzero(new)
+    cuts = begins[np.flatnonzero(np.diff(begins // ARRAY_SUFFIXES, prepend=-1))]
+    docs, firsts, out = np.array([h[1] for h in heads], "i8"), np.array([h[2] for h in heads], "i8"), []
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(shared)], strict=True):
+        part = shared[lo:hi]
+        at, of, place = starts[part], owner[part], inside[part]
+        order, common = enhanced_suffix_array(text, at, n[of] - place, int(n[of].max()))
+        left = np.where(place > 0, text[at - 1].astype("i4"), -1)[order]  # a repeat may go on to the left of a context, where another file has it
+        doc, start, at = docs[of][order], (firsts[of] + place)[order], at[order]
+        for length, first, last in interval_tree(common, size, left):
+            d, p, a = doc[first : last + 1], start[first : last + 1], int(at[first])
+            earliest = np.lexsort((p, d))[0] if last - first > 1 else int((d[1], p[1]) < (d[0], p[0]))
+            flags = np.zeros(len(d), bool)
+            flags[earliest] = True
+            group = xxh64_intdigest(joined[a : a + length]) - (1 << 63)
+            out.append((np.full(len(d), group), d, p, np.full(len(d), length, "i4"), flags))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
 
@@ -124,8 +140,8 @@ def resolve(size: int):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-        names = ["group", "doc", "start", "length", "first", "context", "reach", "before", "copies"]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32())
+        names = ["group", "doc", "start", "length", "first", "context", "reach", "copies"]
 
         def rows(out):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -137,24 +153,24 @@ def resolve(size: int):
                 yield pa.RecordBatch.from_arrays(arrays + [pa.nulls(len(cols[0]), t) for t in types[5:]], names=names)
 
         out, held, held_bytes, heads = [], [], 0, []
-        file = head = None  # head: [context, doc, start, reach, before, copies, group]
+        file = head = None  # head: [context, doc, start, reach, copies, group]
 
         def close_head():
             if head is None:
                 return
-            context, doc, start, reach, before, copies, group = head
+            context, doc, start, reach, copies, group = head
             if file[1] >= 0:
-                out.append((file[0], doc, start, len(context), False, context, reach, before, copies))
+                out.append((file[0], doc, start, len(context), False, context, reach, copies))
                 return
             if copies > 1:
-                out.append((group, doc, start, reach, True, None, None, None, None))
+                out.append((group, doc, start, reach, True, None, None, None))
             heads.append((context, doc, start))
 
         for batch in slices(batches, 4096):
-            for group, salt, doc, start, context, reach, before, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for group, salt, doc, start, context, reach, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if head is not None and file == (group, salt) and context == head[0]:
-                    out.append((head[6], doc, start, reach, False, None, None, None, None))
-                    head[5] += copies
+                    out.append((head[5], doc, start, reach, False, None, None, None))
+                    head[4] += copies
                     continue
                 close_head()
                 if file != (group, salt):
@@ -165,7 +181,7 @@ def resolve(size: int):
                     if held_bytes >= ARRAY_BYTES:
                         yield from found(held)
                         held, held_bytes = [], 0
-                file, head = (group, salt), [context, doc, start, reach, before, copies, xxh64_intdigest(context) - (1 << 63)]
+                file, head = (group, salt), [context, doc, start, reach, copies, xxh64_intdigest(context) - (1 << 63)]
             if out:
                 yield rows(out)
                 out.clear()
@@ -188,7 +204,7 @@ def maximal_repeats(docs: DataFrame, size: int = SIZE, gram: int | None = None)
     """
     win = Windows(size, min(GRAM, max(1, size // 3)) if gram is None else gram, "bytes")
     rows, unique = keyed_windows(docs)
-    return rows, array_repeats(unique, win, resolve(size))
+    return rows, array_repeats(unique, win, resolve(size), prefilter(unique, win))
 
 
 def dedup(docs: DataFrame, size: int = SIZE, gram: int | None = None) -> DataFrame:

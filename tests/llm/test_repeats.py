@@ -226,7 +226,7 @@ def test_long_texts_are_cut_into_segments(docs, monkeypatch):
             import pyarrow as pa
 
             batch = pa.RecordBatch.from_pydict({"k": pa.array([5], pa.int64()), "t": pa.array([long])})
-            for _, (_, _, _, _, place, before, least) in anchors._chunks([batch], w):
+            for _, _, (_, _, _, _, place, before, least) in anchors._chunks([batch], w):
                 for p, b, e in zip(place, before, least, strict=True):
                     seen.update(range(p - b, p - e + 1))
             assert seen == set(range(len(tokens) - w.size + 1))  # every window has an anchor
@@ -243,9 +243,9 @@ def test_memory_of_a_very_long_text():
         "from quillon.llm import anchors as a\n"
         "t = ''.join(chr(97 + i * i % 26) for i in range(1000)) * 20000\n"
         "b = pa.RecordBatch.from_pydict({'k': pa.array([1], pa.int64()), 't': pa.array([t])})\n"
-        "list(len(f[0]) for _, f in a._chunks([b.slice(0, 0)], a.Windows(100, 32, 'bytes')))\n"
+        "list(len(f[0]) for *_, f in a._chunks([b.slice(0, 0)], a.Windows(100, 32, 'bytes')))\n"
         "m = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
-        "print(sum(len(f[0]) for _, f in a._chunks([b], a.Windows(100, 32, 'bytes'))), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - m) // 1024)"
+        "print(sum(len(f[0]) for *_, f in a._chunks([b], a.Windows(100, 32, 'bytes'))), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - m) // 1024)"
     )
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 100_000 and int(out[1]) < 300 and resource
