@@ -1,7 +1,7 @@
 """Ordered rows: headings carried forward, lines joined again, gaps, islands, order and duplicates.
 
-Numbers of one group are dealt to buckets of consecutive numbers, so that no window needs a whole group; what is left to join
-across buckets is two islands a bucket at most.
+Numbers of one group are dealt to buckets of consecutive numbers, so windows over numbers see a bucket, or a row or two a bucket of a
+whole group. Windows over the rows of a document, a conversation or a source (headings, lines, order) see all of its rows.
 """
 
 from __future__ import annotations
@@ -44,26 +44,40 @@ def islands(numbers: DataFrame, group: str, number: str, bucket: int = BUCKET) -
     return inner.unionByName(merged)
 
 
-def gaps(found: DataFrame, group: str) -> DataFrame:
-    """(group, lo, hi): what lies between islands; each island names the next one through an equi-join free window by group."""
-    w = Window.partitionBy(group).orderBy("lo")
-    return (
-        found.withColumn("__next", F.lead("lo").over(w))
-        .where("__next is not null")
-        .select(group, (F.col("hi") + 1).alias("lo"), (F.col("__next") - 1).alias("hi"))
-    )
+def gaps(found: DataFrame, group: str, bucket: int = BUCKET) -> DataFrame:
+    """(group, lo, hi): what lies between islands. The next island is looked for in the bucket of this one, then in the next bucket that has any."""
+    i = found.withColumn("__b", F.floor(F.col("lo") / bucket))
+    inside = F.lead("lo").over(Window.partitionBy(group, "__b").orderBy("lo"))
+    firsts = i.groupBy(group, "__b").agg(F.min("lo").alias("__first"))  # a row a bucket
+    firsts = firsts.withColumn("__then", F.lead("__first").over(Window.partitionBy(group).orderBy("__b"))).drop("__first")
+    i = i.withColumn("__next", inside).join(firsts, [group, "__b"]).withColumn("__next", F.coalesce("__next", "__then"))
+    return i.where("__next is not null").select(group, (F.col("hi") + 1).alias("lo"), (F.col("__next") - 1).alias("hi"))
 
 
-def missing_numbers(between: DataFrame, group: str) -> DataFrame:
-    return between.select(group, F.explode(F.sequence("lo", "hi")).alias("number"))
+def missing_numbers(between: DataFrame, group: str, step: int = 10_000) -> DataFrame:
+    """Every number of every gap; long gaps are cut first, so that no row holds more than ``step`` numbers."""
+    cut = between.select(group, "hi", F.explode(F.sequence("lo", "hi", F.lit(step))).alias("__lo"))
+    return cut.select(group, F.explode(F.sequence("__lo", F.least("hi", F.col("__lo") + (step - 1)))).alias("number"))
 
 
-def classify_gaps(between: DataFrame, rows: DataFrame, group: str, number: str, marked: Column) -> DataFrame:
-    """``repealed``: whether a row from just before the gap up to its end, the next heading excluded, is marked."""
-    numbers = between.select(group, "lo", "hi", F.explode(F.sequence(F.col("lo") - 1, "hi")).alias("__n"))
-    marks = rows.where(marked).select(F.col(group).alias("__g"), F.col(number).alias("__m")).distinct()
-    hit = numbers.join(marks, (F.col(group) == F.col("__g")) & (F.col("__n") == F.col("__m")), "left")
-    return hit.groupBy(group, "lo", "hi").agg(F.max(F.col("__m").isNotNull()).alias("repealed"))
+def classify_gaps(between: DataFrame, rows: DataFrame, group: str, number: str, marked: Column, *, own: bool = True, bucket: int = BUCKET) -> DataFrame:
+    """``repealed``: whether a row from just before the gap up to its end, the next heading excluded, is marked.
+
+    That is so if the last mark up to the gap's end isn't before its start. The last mark is looked for in the bucket of the gap's end, then in the last bucket
+    before that has any, so the length of a gap costs nothing. ``own``: rows carry the group and count for it alone; else they count for every group.
+    """
+    keys = [group] if own else []
+    marks = rows.where(marked).select(*keys, F.col(number).cast("long").alias("__n")).where("__n is not null").distinct()
+    ends = between.select(*([] if own else [group]), *keys, F.col("hi").alias("__n"), "lo", "hi")
+    none = [F.lit(None).cast("long").alias(c) for c in ("lo", "hi")]
+    extra = [] if own else [F.lit(None).cast(between.schema[group].dataType).alias(group)]
+    both = ends.unionByName(marks.select(*extra, *keys, "__n", *none)).withColumn("__b", F.floor(F.col("__n") / bucket))
+    mark = F.when(F.col("lo").isNull(), F.col("__n"))
+    inside = F.max(mark).over(Window.partitionBy(*keys, "__b").orderBy("__n").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = both.groupBy(*keys, "__b").agg(F.max(mark).alias("__m")).withColumn("__before", F.max("__m").over(before)).drop("__m")  # a row a bucket
+    found = both.withColumn("__inside", inside).where("lo is not null").join(buckets, [*keys, "__b"])
+    return found.select(group, "lo", "hi", F.coalesce(F.coalesce("__inside", "__before") >= F.col("lo") - 1, F.lit(False)).alias("repealed"))
 
 
 def out_of_order(df: DataFrame, group: str, order: list, key) -> DataFrame:

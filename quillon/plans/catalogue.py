@@ -63,8 +63,7 @@ SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {T
 )
 def lexical_topk(spark, sf_dir):
     """The ten documents that share most tokens with each benchmark item."""
-    scores = retrieval.overlap(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id")
-    return retrieval.top_k(scores, "item_id", "doc_id", TOPK)
+    return retrieval.best_overlap(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", TOPK)
 
 
 DEMO_PHRASES = ("in the", "of the", "de la", "und der")
@@ -87,7 +86,7 @@ def _library(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def _weighted(spark, sf_dir) -> DataFrame:
     queries, articles = _library(spark, sf_dir)
-    return retrieval.score_articles(queries, articles, phrases=DEMO_PHRASES, boosts=DEMO_BOOSTS, cited=r"(\d+)")
+    return retrieval.best_articles(queries, articles, TOPK, phrases=DEMO_PHRASES, boosts=DEMO_BOOSTS, cited=r"(\d+)")
 
 
 def _sql_weighted() -> str:
@@ -112,8 +111,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 @query(f"WITH {_sql_weighted()} SELECT item_id, doc_id, CAST(score AS BIGINT) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {TOPK}")
 def weighted_topk(spark, sf_dir):
     """The full score: tokens, title tokens, phrases, rule boosts, cited numbers."""
-    top = retrieval.top_k(_weighted(spark, sf_dir), "query_id", "load_seq", TOPK)
-    return top.select(F.col("query_id").alias("item_id"), F.col("article_id").alias("doc_id"), "score", "rank")
+    return _weighted(spark, sf_dir).select(F.col("query_id").alias("item_id"), F.col("article_id").alias("doc_id"), "score", "rank")
 
 
 @query(
@@ -371,9 +369,8 @@ SELECT g AS o_orderstatus, lo, hi, bool_or(m.k IS NOT NULL) AS repealed FROM x L
 def gap_classify(spark, sf_dir):
     """Gaps of each status, told apart by whether an urgent order of any status lies in them."""
     between = sequence.gaps(_islands(spark, sf_dir), "o_orderstatus")
-    statuses = between.select("o_orderstatus").distinct()
-    rows = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey").join(F.broadcast(statuses))  # one row a status
-    return sequence.classify_gaps(between, rows, "o_orderstatus", "o_orderkey", F.lit(True))
+    rows = read(spark, sf_dir, "orders")
+    return sequence.classify_gaps(between, rows, "o_orderstatus", "o_orderkey", F.col("o_orderpriority") == "1-URGENT", own=False)
 
 
 @query(
