@@ -418,17 +418,24 @@ def marker_audit(spark, sf_dir):
     return d.select("doc_id", "m.missing", "m.missing_marks", "m.law_marks", "m.suggestions")
 
 
+SECTION = ("(licen[cs]ed|released) under", "all rights reserved")
+
+
 @query(
-    """SELECT page_id, CAST(length(a) AS INT) AS n, md5(a) AS digest FROM (SELECT page_id,
-CASE WHEN instr(html, '<p>') = 0 THEN '' WHEN instr(substr(html, instr(html, '<p>') + 3), '</p>') = 0 THEN substr(html, instr(html, '<p>') + 3)
-ELSE substr(html, instr(html, '<p>') + 3, instr(substr(html, instr(html, '<p>') + 3), '</p>') - 1) END AS a FROM pages)"""
+    f"""WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r]'),
+  lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents),
+f AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: regexp_matches(x, '(?i){SECTION[0]}')), true) AS a FROM l),
+e AS (SELECT doc_id, l, a, list_position(list_transform(l, lambda x, i: i > a AND regexp_matches(x, '(?i){SECTION[1]}')), true) AS b FROM f),
+c AS (SELECT doc_id, CASE WHEN a > 0 AND b > 0 THEN list_slice(l, a, b - 1) END AS c FROM e)
+SELECT doc_id, CAST(len(c) AS INT) AS n, md5(array_to_string(c, chr(10))) AS digest FROM c"""
 )
 def slice_between_anchors(spark, sf_dir):
-    """The first paragraph of every page."""
-    rest = F.substring("html", F.instr("html", "<p>") + 3, F.lit(1 << 30))
-    end = F.instr(rest, "</p>")
-    cut = F.when(F.instr("html", "<p>") == 0, "").when(end == 0, rest).otherwise(F.substring(rest, F.lit(1), end - 1))
-    return read(spark, sf_dir, "pages").select("page_id", F.length(cut).alias("n"), F.md5(cut).alias("digest"))
+    """The lines of every document from the first that grants a licence up to the next that reserves all rights."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", X.lines("text").alias("l"))
+    start = assemble.find_line(F.col("l"), SECTION[0])
+    marked = lines.withColumn("a", start).withColumn("b", assemble.find_line(F.col("l"), SECTION[1], F.col("a") + 1))
+    cut = marked.select("doc_id", F.when(F.col("a").isNotNull(), assemble.cut(F.col("l"), F.col("a"), F.col("b"))).alias("c"))
+    return cut.select("doc_id", F.when(F.col("c").isNotNull(), F.size("c")).alias("n"), F.md5(F.array_join("c", "\n")).alias("digest"))
 
 
 REWRITES = [(r"[ \t]+", " "), (r"(?i)the and", "and the"), (r"!!+", "!"), (r"and the and", "and")]

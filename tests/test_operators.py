@@ -289,3 +289,51 @@ def test_memo_sends_each_prompt_once_and_stores_answers_only(spark):
     out, new = memo.answer(asked, known, call, tasks=2)
     assert sorted((r["key"], r["response"]) for r in out.collect()) == [("a", "old"), ("b", "u2"), ("b", "u2"), ("c", None), ("d", None)]
     assert [r["key"] for r in new.collect()] == ["b"]
+
+
+@pytest.mark.parametrize("most", [4096, 1])
+def test_best_articles_equal_the_full_join(spark, tables, monkeypatch, most):
+    """In one pass, and past its bound, the same rows as ranking every pair; ties in load order."""
+    from quillon.plans import catalogue as c
+
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", most)
+    queries, articles = c._library(spark, tables)
+    how = {"phrases": c.DEMO_PHRASES, "boosts": c.DEMO_BOOSTS, "cited": r"(\d+)"}
+    got = retrieval.best_articles(queries, articles, 7, **how)
+    want = retrieval.top_k(retrieval.score_articles(queries, articles, **how), "query_id", "load_seq", 7)
+    columns = ["query_id", "rank", "article_id", "load_seq", "code", "number", "score"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert retrieval.best_articles(queries.where("false"), articles, 7, **how).count() == 0
+    assert retrieval.best_articles(queries, articles.where("false"), 7, **how).count() == 0
+
+
+def test_gaps_of_any_length(spark):
+    """A gap of a thousand million numbers is one row until its numbers are asked for; marks in far buckets are found."""
+    far = 1_000_000_000
+    n = spark.createDataFrame([("a", 1), ("a", 2), ("a", far), ("a", far + 3), ("b", 5), ("b", 9)], "g string, n long")
+    between = sequence.gaps(sequence.islands(n, "g", "n"), "g")
+    assert sorted(map(tuple, between.collect())) == [("a", 3, far - 1), ("a", far + 1, far + 2), ("b", 6, 8)]
+    marks = spark.createDataFrame([("a", 400), ("b", 4)], "g string, n long")
+    told = lambda own: sorted(map(tuple, sequence.classify_gaps(between, marks, "g", "n", F.lit(True), own=own).collect()))
+    assert told(True) == [("a", 3, far - 1, True), ("a", far + 1, far + 2, False), ("b", 6, 8, False)]
+    late = spark.createDataFrame([("b", far + 1)], "g string, n long")
+    other = sequence.classify_gaps(between, late, "g", "n", F.lit(True), own=False)
+    assert sorted((r["g"], r["lo"]) for r in other.where("repealed").collect()) == [("a", far + 1)]
+    some = sequence.missing_numbers(between.where("lo > 3"), "g", 2)
+    assert sorted(map(tuple, some.collect())) == [("a", far + 1), ("a", far + 2), ("b", 6), ("b", 7), ("b", 8)]
+
+
+def test_gaps_equal_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.randrange(400)) for g in "xyz" for _ in range(60)]
+    marks = [(g, rng.randrange(400)) for g in "xyz" for _ in range(9)]
+    n = spark.createDataFrame(rows, "g string, n long")
+    between = sequence.gaps(sequence.islands(n, "g", "n", 16), "g", 16)
+    want = {}
+    for g in "xyz":
+        own = sorted({b for a, b in rows if a == g})
+        for a, b in zip(own, own[1:], strict=False):
+            if b > a + 1:
+                want[g, a + 1, b - 1] = any(h == g and a <= m < b for h, m in marks)
+    got = sequence.classify_gaps(between, spark.createDataFrame(marks, "g string, n long"), "g", "n", F.lit(True), bucket=16)
+    assert {tuple(r)[:3]: r["repealed"] for r in got.collect()} == want
