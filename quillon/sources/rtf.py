@@ -45,6 +45,7 @@ CELL_ENDS = frozenset(("cell", "nestcell"))
 SYMBOLS = {b"~": " ", b"_": "-", b"\\": "\\", b"{": "{", b"}": "}", b"\n": "\n", b"\r": "\n"}
 #: Character sets that a header may name without a number.
 CODE_PAGES = {"ansi": "cp1252", "pc": "cp437", "pca": "cp850", "mac": "mac_roman"}
+LAST_BAR = re.compile(r"[ \t]*\|[ \t]*$")  # the last cell's end is the row's
 CELL = "\x00"  # stands for a cell's end until its line is whole
 
 
@@ -172,8 +173,8 @@ class Story:
     def text(self) -> str:
         self.say("")
         joined = "".join(self.parts).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        lines = (line.rstrip(" \t" + CELL) for line in joined.split("\n"))  # the last cell's end is the row's
-        return "\n".join(line.replace(CELL, " | ").strip() for line in lines)
+        *ended, last = joined.replace(CELL, " | ").split("\n")
+        return "\n".join(line.strip() for line in [*(LAST_BAR.sub("", line) for line in ended), last])
 
 
 def rtf_text(data: bytes) -> str:
