@@ -1,13 +1,15 @@
-"""Near-duplicates by exact Jaccard similarity of 5-word shingles, found with prefix filtering (Bayardo et al., 2007).
+"""Near-duplicates by exact Jaccard similarity of 5-word shingles: SimHash links first, then prefix filtering for what lies beyond.
 
-Two sets with a Jaccard similarity of ``JACCARD`` or more share an element among the first ``n - ceil(JACCARD * n) + 1`` of each,
-whatever total order all sets are sorted by. A document is filed under each shingle of this prefix, documents that share a file
-are compared by their shingles themselves, and no pair is missed. The order is (common in a sample, hash): common shingles come last,
-which only makes files small. Copies with equal text are one document.
+Fingerprints within ``simhash.BITS`` bits are linked by the Golay search; each link is verified on the shingles and contracted. What is
+similar but further apart is found by prefix filtering (Bayardo et al., 2007). Two sets with a Jaccard similarity of ``JACCARD`` or more
+share an element among the first ``n - ceil(JACCARD * n) + 1`` of each, whatever total order all sets are sorted by. A document is filed
+under each shingle of this prefix, documents of different contracted groups that share a file are compared by their shingles, and no pair
+is missed. The order is (rare in a sketch of all documents, hash), so common shingles come last, which only makes files small. Copies
+with equal text are one document. Shingles are compared by 64-bit hashes of their words.
 
 Files of up to ``SMALL`` members give all their pairs. A larger file first gives a star around a member drawn by hash; verified
 links are contracted, and only pairs that are still in different components follow. So a large group of copies costs about its
-size, not its square; unlike documents that share nothing but common shingles do cost their pairs.
+size, not its square; unlike documents that share nothing but common shingles do cost their pairs. Files of over ``HOT`` members are salted.
 
 Defined cases: words are split and lowered as in ``simhash``. A text of fewer than five words is one shingle; a null or blank text has
 none, and only equal texts are its copies. Null ids take part.
@@ -15,10 +17,11 @@ none, and only equal texts are its copies. Null ids take part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import P, keyed, materialize
+from quillon.llm import simhash
+from quillon.llm.common import P, checked, keyed, materialize
 from quillon.llm.components import components
 
 SIZE, SEED = 5, 42
@@ -26,73 +29,99 @@ SIZE, SEED = 5, 42
 JACCARD = 80
 #: Members of a file up to which all its pairs are formed at once; members up to which a file isn't split over tasks.
 SMALL, HOT = 32, 2000
-#: One document in so many is sampled for common shingles; occurrences in the sample from which one is common; most that are kept.
-SAMPLE, COMMON, MOST_COMMON = 16, 4, 1 << 16
+#: Bits of the sketch that counts shingles; words whose hashes a task holds; rows that are hashed or filed at once.
+SKETCH, MOST_WORDS, SLICE = 18, 1 << 18, 500
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+class WordHashes(dict):
+    """Hashes of words, held for words that come again."""
 
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
-def shingles(text: str | None) -> set[bytes]:
-    w = words_of(text)
-    if len(w) <= SIZE:
-        return {b" ".join(w)} if w else set()
-    return set(map(b" ".join, zip(*(w[i:] for i in range(SIZE)), strict=False)))
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word, SEED)
+        return h
 
 
-def hashes(text: str | None):
-    """Distinct 64-bit hashes of the shingles, in order."""
+def hashes(text: str | None, held: WordHashes):
+    """Distinct 64-bit hashes of the shingles, in order: polynomials of the hashes of their words, mixed."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    s = shingles(text)
-    return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in s), "u8", len(s)))
+    w = (text or "").encode().lower().split()
+    x = np.fromiter(map(held.__getitem__, w), "u8", len(w))
+    k = min(len(w), SIZE)
+    n = len(w) - k + 1 if k else 0
+    h = x[:n].copy()
+    for i in range(1, k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + x[i : i + n]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def common_shingles(texts: DataFrame):
-    """Sorted hashes that are frequent in a sample of the documents; they only decide the order of prefixes."""
+def with_sets(texts: DataFrame) -> DataFrame:
+    """``texts`` (doc, text) with ``h``, the hashes of its shingles as little-endian bytes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = WordHashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                h = [hashes(t, held).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(h, pa.binary())], names=["doc", "text", "h"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, text string, h binary")
+
+
+def sketch(sets: DataFrame):
+    """How many documents hold a shingle of each bucket; only the order of prefixes depends on it."""
     import numpy as np
 
     def run(batches):
         import pyarrow as pa
 
+        seen = np.zeros(1 << SKETCH, "i8")
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(text).view("i8"))], names=["h"])
+            for start in range(0, batch.num_rows, SLICE):
+                h = np.frombuffer(b"".join(batch.column(0).slice(start, SLICE).to_pylist()), "u8")
+                seen += np.bincount((h & np.uint64((1 << SKETCH) - 1)).astype("i8"), minlength=1 << SKETCH)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
 
-    sample = texts.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
-    found = sample.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON)
-    return np.sort(np.array([r["h"] for r in found.select("h").collect()], "i8").view("u8"))
+    found = sets.select("h").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SKETCH, "i8")
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
-def files(texts: DataFrame, common) -> DataFrame:
-    """(key, doc, n, at): every file of every document, with the size of its set and the place of the key in its order."""
+def files(sets: DataFrame, seen) -> DataFrame:
+    """(key, doc, root, n, at): every file of every document, with the size of its set and the place of the key in its order."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                keys, docs, sizes, at = [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    h = hashes(text)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                cols = []
+                for doc, root, raw in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    h = np.frombuffer(raw, "u8")
                     n = len(h)
                     if not n:
                         continue
-                    last = np.isin(h, common)
                     p = n - (JACCARD * n + 99) // 100 + 1
-                    keys.append(np.concatenate([h[~last], h[last]])[:p])
-                    docs.append(np.full(p, doc, "i8"))
-                    sizes.append(np.full(p, n, "i4"))
-                    at.append(np.arange(p, dtype="i4"))
-                if keys:
-                    cols = (np.concatenate(keys).view("i8"), *map(np.concatenate, (docs, sizes, at)))
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["key", "doc", "n", "at"])
+                    first = np.lexsort((h, seen[(h & np.uint64((1 << SKETCH) - 1)).astype("i8")]))[:p]
+                    cols.append((h[first].view("i8"), np.full(p, doc, "i8"), np.full(p, root, "i8"), np.full(p, n, "i4"), np.arange(p, dtype="i4")))
+                if cols:
+                    arrays = [pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "root", "n", "at"])
 
-    return texts.select("doc", "text").mapInArrow(run, "key long, doc long, n int, at int")
+    return sets.select("doc", "root", "h").mapInArrow(run, "key long, doc long, root long, n int, at int")
 
 
 def may_link(n, at, m, bt):
@@ -108,55 +137,76 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return both.where(may_link(F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at"))).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs whose sets of shingles reach the bound."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        held, own = None, set()
         for batch in batches:
             out = []
-            cols = (batch.column(i).to_pylist() for i in range(4))
-            for a, b, one, two in zip(*cols, strict=True):
-                if a != held:
-                    held, own = a, shingles(one)
-                other = shingles(two)
-                shared = len(own & other)
-                if 100 * shared >= JACCARD * (len(own) + len(other) - shared):
+            for a, b, one, two in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                one, two = np.frombuffer(one, "u8"), np.frombuffer(two, "u8")
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                if shared and 100 * shared >= JACCARD * (len(one) + len(two) - shared):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    one = texts.select(F.col("doc").alias("a"), F.col("text").alias("one"))
-    two = texts.select(F.col("doc").alias("b"), F.col("text").alias("two"))
-    rows = pairs.distinct().join(two, "b").join(one, "a").select("a", "b", "one", "two")
-    return rows.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    one = sets.select(F.col("doc").alias("a"), F.col("h").alias("one"))
+    two = sets.select(F.col("doc").alias("b"), F.col("h").alias("two"))
+    return pairs.distinct().join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+
+
+def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with ``root``, the smallest document that the edges connect ``doc`` to."""
+    roots = components(edges).select(F.col("node").alias("doc"), F.col("root").alias("least"))
+    out = rows.join(checked(roots, roots.count()), "doc", "left")
+    return out.withColumn("root", F.coalesce("least", "doc")).drop("least")
+
+
+def salted(keys: DataFrame) -> DataFrame:
+    """``keys`` (key, parts, ...), one row for each salt of a file."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def mixed_files(rows: DataFrame) -> DataFrame:
+    """(key, members, parts) of the files whose members have more than one root."""
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("x"), F.max("root").alias("y"))
+    return found.where("x <> y").select("key", "members", F.ceil(F.col("members") / HOT).cast("int").alias("parts"))
+
+
+def shared_rows(filed: DataFrame) -> DataFrame:
+    """The rows of files whose members have more than one root, with ``members`` and the ``salt`` of large files."""
+    mixed = materialize(mixed_files(filed), "mixed")
+    hot = mixed.where(F.col("members") > HOT).select("key", "parts")
+    salt = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("parts")), F.lit(0)).cast("int")
+    rows = filed.join(checked(hot, hot.count()), "key", "left").withColumn("salt", salt).drop("parts")
+    return materialize(rows.join(salted(mixed), ["key", "salt"]), "shared")
 
 
-def near_links(texts: DataFrame) -> DataFrame:
-    """Verified edges (a, b) that connect all documents of ``texts`` (doc, text) that a chain of links connects."""
-    filed = files(texts, common_shingles(texts))
-    of = Window.partitionBy("key")
-    star = F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "n", "at")).over(of)
-    shared = filed.withColumn("members", F.count(F.lit(1)).over(of)).withColumn("lead", star).where(F.col("members") > 1)
-    shared = materialize(shared.select("key", "doc", "n", "at", "members", "lead"), "shared")
-    small = shared.where(F.col("members") <= SMALL).withColumn("cell", F.lit(0)).withColumn("root", F.col("doc"))
+def near_links(rows: DataFrame) -> DataFrame:
+    """Verified edges (a, b) that connect all documents of ``rows`` (doc, h, fingerprint) that a chain of links connects."""
+    sets = rows.select("doc", "h")
+    known = materialize(verified(simhash.document_links(rows.select("doc", simhash.FP)), sets), "close")
+    shared = shared_rows(files(rooted(sets, known), sketch(sets)))
+    small = shared.where(F.col("members") <= SMALL).withColumn("cell", F.lit(0))
     large = shared.where(F.col("members") > SMALL)
-    spokes = large.where((F.col("doc") != F.col("lead.doc")) & may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+    drawn = F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "root", "n", "at"))
+    lead = large.groupBy("key").agg(drawn.alias("lead"), (F.max("salt") + 1).alias("parts"))
+    spokes = large.join(salted(lead), ["key", "salt"]).where(F.col("root") != F.col("lead.root"))
+    spokes = spokes.where(may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     spokes = spokes.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"))
-    edges = materialize(verified(pairs_of(small).unionByName(spokes), texts), "near")
+    edges = known.unionByName(materialize(verified(pairs_of(small).unionByName(spokes), sets), "near"))
     if large.isEmpty():
         return edges
-    roots = components(edges)
-    rest = large.join(roots, F.col("doc") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc"))
-    mixed = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rest = materialize(rooted(large.drop("root"), edges), "rest")
     parts = F.ceil(F.col("members") / HOT).cast("int")
-    rest = rest.join(mixed, "key").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("own")) * F.col("parts") + F.greatest(j, F.col("own"))
-    )
-    rest = rest.withColumn("cell", F.explode(cells))
-    return edges.unionByName(materialize(verified(pairs_of(rest), texts), "near"))
+    left = mixed_files(rest).select("key", (F.ceil(F.col("members") / HOT).cast("int")).alias("parts"))
+    rest = rest.join(salted(left), ["key", "salt"]).withColumn("parts", parts)
+    own = F.col("salt")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, own) * F.col("parts") + F.greatest(j, own))
+    return edges.unionByName(materialize(verified(pairs_of(rest.withColumn("cell", F.explode(cells))), sets), "near"))
 
 
 def losers(docs: DataFrame) -> DataFrame:
@@ -165,8 +215,10 @@ def losers(docs: DataFrame) -> DataFrame:
     rows = keyed(docs).select(F.col(key).alias("doc"), "text")
     text = F.coalesce("text", F.lit(""))
     marked = materialize(rows.select("doc", F.md5(text).alias("digest")), "digests")
-    first = marked.groupBy("digest").agg(F.min("doc").alias("first"))
-    copies = materialize(marked.join(first, "digest").where("doc <> first").select("doc").distinct(), "copies")
-    texts = materialize(rows.dropDuplicates(["doc"]).join(copies, "doc", "left_anti"), "texts")
-    near = components(near_links(texts)).where("node <> root").select(F.col("node").alias("doc"))
+    first = marked.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    first = materialize(first, "firsts")
+    copies = materialize(marked.join(checked(first, first.count()), "digest").where("doc <> first").select("doc").distinct(), "copies")
+    texts = rows.dropDuplicates(["doc"]).join(checked(copies, copies.count()), "doc", "left_anti")
+    sets = materialize(simhash.fingerprints(with_sets(texts)), "sets")
+    near = components(near_links(sets)).where("node <> root").select(F.col("node").alias("doc"))
     return copies.unionByName(near).distinct().withColumnRenamed("doc", key)

@@ -21,7 +21,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import P, free_name, keyed, materialize, quoted
+from quillon.llm.common import P, checked, free_name, keyed, materialize, quoted
 from quillon.llm.components import components
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -220,6 +220,24 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return link(filed.repartition("key", "cell").sortWithinPartitions("key", "cell", "fp"))
 
 
+def linked(distinct: DataFrame) -> DataFrame:
+    """``links`` of a table of distinct fingerprints, written once."""
+    parts = -(-distinct.count() // FILED)
+    return materialize(links(distinct.repartition(max(1, parts), "fp")).distinct(), "links")
+
+
+def document_links(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: edges that connect all documents of ``rows`` (doc, ``FP``) whose fingerprints a chain of links connects."""
+    found = rows.groupBy(F.col(FP).alias("fp")).agg(F.min("doc").alias("k"), F.count(F.lit(1)).alias("members"))
+    distinct = materialize(found, "distinct")
+    one = distinct.select(F.col("fp").alias("a"), F.col("k").alias("x"))
+    two = distinct.select(F.col("fp").alias("b"), F.col("k").alias("y"))
+    between = linked(distinct).join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    several = distinct.where("members > 1").select("fp", "k")
+    same = rows.join(checked(several, several.count()), rows[FP] == several["fp"]).where("doc <> k")
+    return between.unionByName(same.select(F.col("k").alias("a"), F.col("doc").alias("b")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with a key, ``fp``, ``component_id`` (smallest doc_id) and ``KEEPER`` (smallest key).
 
@@ -229,9 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     rows = materialize(fingerprints(keyed(docs).select(key, *map(quoted, others), "text")), "fingerprints")
     distinct = materialize(rows.groupBy(F.col(FP).alias("fp")).agg(F.min("doc_id").alias("id"), F.min(key).alias("k")), "distinct")
-    parts = -(-distinct.count() // FILED)
-    edges = materialize(links(distinct.repartition(max(1, parts), "fp")).distinct(), "links")
-    roots = components(edges)
+    roots = components(linked(distinct))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         distinct["fp"], "id", "k", F.coalesce("root", distinct["fp"]).alias("root")
     )
