@@ -32,6 +32,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word Jaccard similarities of 0.8 or more connect: the one with the smallest id.
 
+    Operator 3 (``simhash.document_links``) gives the links within its bits, which are verified; prefix filtering gives the others.
+
     Null and empty texts are equal, so one of them stays. Null ids come before all others. Rows that agree in id and text are one document, of which
     one row stays; rows with one id and unlike texts are two documents. Long texts are compared as whole sets. An empty table stays empty. No other column is read.
     """
