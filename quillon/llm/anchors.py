@@ -18,7 +18,7 @@ from functools import cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import P, checked, keyed_rows, materialize
+from quillon.llm.common import P, checked, keyed_rows, map_arrow, materialize
 from quillon.llm.tokens import slices
 
 KEY = P + "doc"
@@ -258,7 +258,7 @@ def anchors(docs: DataFrame, win: Windows, keep=None) -> DataFrame:
             out = [pa.array(np.ascontiguousarray(c)) for c in cols] + [pa.array(more, pa.binary())]
             yield pa.RecordBatch.from_arrays(out, names=["gram", "span", "sides", "doc", "at", "more"])
 
-    return docs.select(KEY, "text").mapInArrow(run, ANCHORS)
+    return map_arrow(docs.select(KEY, "text"), run, ANCHORS)
 
 
 def contexts(docs: DataFrame, win: Windows, keep, *, bytes_: bool = True) -> DataFrame:
@@ -293,7 +293,7 @@ def contexts(docs: DataFrame, win: Windows, keep, *, bytes_: bool = True) -> Dat
         cols = [pa.array(file), pa.array(doc), pa.array(start), pa.array(cut, pa.binary()), pa.array(reach.astype("i4"))]
         return pa.RecordBatch.from_arrays(cols, names=["file", "doc", "start", "context", "reach"])
 
-    return docs.select(KEY, "text").mapInArrow(run, CONTEXTS if bytes_ else "file long")
+    return map_arrow(docs.select(KEY, "text"), run, CONTEXTS if bytes_ else "file long")
 
 
 def classes(rows: DataFrame, win: Windows) -> DataFrame:
@@ -430,7 +430,7 @@ def array_repeats(unique: DataFrame, win: Windows, resolve, keep) -> DataFrame:
     filed = contexts(unique, win, keep).join(checked(hot, hot.count()), F.col("file") == F.col("of"), "left")
     salt = F.coalesce(F.pmod(F.xxhash64("doc", "start"), F.col("parts")).cast("int"), F.lit(-1))
     filed = filed.select("file", salt.alias("salt"), "doc", "start", "context", "reach", F.lit(1).alias("copies"))
-    once = materialize(_sorted(filed).mapInArrow(resolve, RESOLVED), "resolved")
+    once = materialize(map_arrow(_sorted(filed), resolve, RESOLVED), "resolved")
     heads = once.where("context is not null").select(F.col("group").alias("file"), F.lit(-1).alias("salt"), "doc", "start", "context", "reach", "copies")
     vast = materialize(heads.groupBy("file").count().where(F.col("count") > MOST_CONTEXTS).select(F.col("file").alias("of")), "vast")
     heads = heads.join(checked(vast, vast.count()), F.col("file") == F.col("of"), "left")
@@ -439,7 +439,7 @@ def array_repeats(unique: DataFrame, win: Windows, resolve, keep) -> DataFrame:
     window = F.expr(f"substring(context, i + 1, {win.size})")
     split = split.select(F.xxhash64(window).alias("file"), F.lit(-1).alias("salt"), "doc", (F.col("start") + F.col("i")).alias("start"), window.alias("context"), F.lit(win.size).alias("reach"), "copies")
     heads = heads.where("of is null").drop("of").unionByName(split)
-    again = _sorted(heads).mapInArrow(resolve, RESOLVED)
+    again = map_arrow(_sorted(heads), resolve, RESOLVED)
     columns = ["group", "doc", "start", "length", "first"]
     return once.where("context is null").select(*columns).unionByName(again.select(*columns))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import simhash
-from quillon.llm.common import P, checked, keyed, materialize
+from quillon.llm.common import P, checked, keyed, map_arrow, materialize
 from quillon.llm.components import components
 
 SIZE, SEED = 5, 42
@@ -62,7 +62,10 @@ def hashes(text: str | None, held: WordHashes):
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
-    """``texts`` (doc, text) with ``h``, the hashes of its shingles as little-endian bytes."""
+    """(doc, h, fingerprint) of ``texts`` (doc, text); h: the hashes of its shingles as little-endian bytes.
+
+    One pass for both: two in a row would take two Python workers a core, which stay with all they hold.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -71,10 +74,11 @@ def with_sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
-                h = [hashes(t, held).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(h, pa.binary())], names=["doc", "text", "h"])
+                rows = part.column(1).to_pylist()
+                h = [hashes(t, held).tobytes() for t in rows]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.binary()), pa.array(simhash.bits(rows), pa.int64())], names=["doc", "h", simhash.FP])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc long, text string, h binary")
+    return map_arrow(texts.select("doc", "text"), run, f"doc long, h binary, {simhash.FP} long")
 
 
 def sketch(sets: DataFrame):
@@ -92,7 +96,7 @@ def sketch(sets: DataFrame):
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
 
-    found = sets.select("h").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = map_arrow(sets.select("h"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH, "i8")
     out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -121,7 +125,7 @@ def files(sets: DataFrame, seen) -> DataFrame:
                     arrays = [pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "root", "n", "at"])
 
-    return sets.select("doc", "root", "h").mapInArrow(run, "key long, doc long, root long, n int, at int")
+    return map_arrow(sets.select("doc", "root", "h"), run, "key long, doc long, root long, n int, at int")
 
 
 def may_link(n, at, m, bt):
@@ -155,7 +159,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = sets.select(F.col("doc").alias("a"), F.col("h").alias("one"))
     two = sets.select(F.col("doc").alias("b"), F.col("h").alias("two"))
-    return pairs.distinct().join(two, "b").join(one, "a").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    both = pairs.distinct().join(two, "b").join(one, "a").select("a", "b", "one", "two")
+    return map_arrow(both, run, "a long, b long")
 
 
 def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -219,6 +224,6 @@ def losers(docs: DataFrame) -> DataFrame:
     first = materialize(first, "firsts")
     copies = materialize(marked.join(checked(first, first.count()), "digest").where("doc <> first").select("doc").distinct(), "copies")
     texts = rows.dropDuplicates(["doc"]).join(checked(copies, copies.count()), "doc", "left_anti")
-    sets = materialize(simhash.fingerprints(with_sets(texts)), "sets")
+    sets = materialize(with_sets(texts), "sets")
     near = components(near_links(sets)).where("node <> root").select(F.col("node").alias("doc"))
     return copies.unionByName(near).distinct().withColumnRenamed("doc", key)

@@ -27,7 +27,7 @@ from random import Random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, plain_ids
+from quillon.llm.common import map_arrow, materialize, plain_ids
 from quillon.llm.tokens import default_path, encoder, slices
 
 CAPACITY, SEPARATOR = 2048, 0
@@ -60,7 +60,7 @@ def cut_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: in
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
 
 
 def best_fit(order, lengths, bins: list[list[int]], room: list[int], capacity: int) -> None:

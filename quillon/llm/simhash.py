@@ -35,44 +35,50 @@ FP, KEEPER, FILED = P + "fp", P + "keeper", 20_000
 CHUNK = 1 << 18
 
 
+def bits(texts: list):
+    """The fingerprints of texts, as signed 64-bit integers."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    def count(hashes, sizes):
+        h = np.fromiter(hashes, "u8", len(hashes))
+        n = np.array(sizes, "i8")
+        out = np.zeros(len(n), "u8")
+        full = n > 0
+        starts = (np.cumsum(n) - n)[full]
+        if len(starts):
+            for b in range(64):
+                ones = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype("i8"), starts)
+                out[full] |= (2 * ones > n[full]).astype("u8") << np.uint64(b)
+        return out.view("i8")
+
+    hashes, sizes, done = [], [], []
+    for text in texts:
+        w = (text or "").encode().lower().split()
+        if len(w) > SHINGLE:
+            grams = map(b" ".join, zip(*(w[i:] for i in range(SHINGLE)), strict=False))
+            new = [xxh64_intdigest(g, SEED) for g in grams]
+        else:
+            new = [xxh64_intdigest(b" ".join(w), SEED)] if w else []
+        hashes += new
+        sizes.append(len(new))
+        if len(hashes) >= CHUNK:
+            done.append(count(hashes, sizes))
+            hashes, sizes = [], []
+    done.append(count(hashes, sizes))
+    return np.concatenate(done)
+
+
 def fingerprints(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` without its text but with ``fp``, the 64 bits as a long."""
     others = [c for c in docs.columns if c != column]
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
-
-        def count(hashes, sizes):
-            h = np.fromiter(hashes, "u8", len(hashes))
-            n = np.array(sizes, "i8")
-            out = np.zeros(len(n), "u8")
-            full = n > 0
-            starts = (np.cumsum(n) - n)[full]
-            if len(starts):
-                for b in range(64):
-                    ones = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype("i8"), starts)
-                    out[full] |= (2 * ones > n[full]).astype("u8") << np.uint64(b)
-            return out.view("i8")
 
         for batch in batches:
-            hashes, sizes, done = [], [], []
-            for text in batch.column(column).to_pylist():
-                w = (text or "").encode().lower().split()
-                if len(w) > SHINGLE:
-                    grams = map(b" ".join, zip(*(w[i:] for i in range(SHINGLE)), strict=False))
-                    new = [xxh64_intdigest(g, SEED) for g in grams]
-                else:
-                    new = [xxh64_intdigest(b" ".join(w), SEED)] if w else []
-                hashes += new
-                sizes.append(len(new))
-                if len(hashes) >= CHUNK:
-                    done.append(count(hashes, sizes))
-                    hashes, sizes = [], []
-            done.append(count(hashes, sizes))
             kept = [batch.column(c) for c in others]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(done), pa.int64())], names=[*others, FP])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(bits(batch.column(column).to_pylist()), pa.int64())], names=[*others, FP])
 
     schema = docs.select(*map(quoted, others)).schema.add(FP, "long")
     return docs.mapInArrow(run, schema)

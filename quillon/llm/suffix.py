@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.anchors import KEY, SPANS, Windows, array_repeats, keyed_windows, merged, window_hashes, with_spans
-from quillon.llm.common import quoted
+from quillon.llm.common import map_arrow, quoted
 from quillon.llm.substring import prefilter
 from quillon.llm.tokens import slices
 
@@ -265,4 +265,4 @@ def without_repeats(cut: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
     columns = [quoted(c) for c in cut.columns if c not in (KEY, SPANS)]
-    return cut.select(*columns, SPANS).mapInArrow(run, cut.select(*columns).schema)
+    return map_arrow(cut.select(*columns, SPANS), run, cut.select(*columns).schema)

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as cp
 import pytest
 
-from quillon.llm import near
+from quillon.llm import near, simhash
 
 
 def shingles(text):
@@ -75,3 +75,24 @@ def test_two_replaced_words_in_96(spark, docs):
     rows = [(1, " ".join(w)), (2, " ".join(c)), (3, " ".join(f"b{i}" for i in range(96))), (4, " ".join(far)), (5, None), (6, None), (7, " ")]
     out = cp.near_dedup(spark, docs(rows), "")
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4, 5, 7]
+
+
+def test_one_python_worker_a_task(spark, awkward, monkeypatch):
+    """Between two Python passes lies an exchange: in one stage they would take two workers a core, which stay with what they hold."""
+    plans, store = [], near.materialize
+
+    def told(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(near, "materialize", told)
+    near.losers(awkward).count()
+    assert any("MapInArrow" in p for p in plans)
+    for plan in plans:
+        assert all("Exchange" in between for between in plan.split("MapInArrow")[1:-1])
+
+
+def test_fingerprints_beside_sets(spark, awkward):
+    rows = awkward.select(awkward["text"].alias("text"), awkward["n_chars"].alias("doc"))
+    alone = simhash.fingerprints(rows).select("doc", simhash.FP)
+    assert sorted(map(tuple, near.with_sets(rows).select("doc", simhash.FP).collect())) == sorted(map(tuple, alone.collect()))
