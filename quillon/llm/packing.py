@@ -7,7 +7,8 @@ Crossover injects the well-filled bins of one parent whole, keeps the bins of th
 go), and places the displaced pieces: a piece may take the place of one or two shorter ones, the others go by best fit, largest first.
 Fewer bins are fitter; among as many, the more uneven filling is, since that empties the last bins. After each epoch an island sends its elite to the next
 one, which takes them in instead of its worst. An island stops only when nothing can be better (as few bins as the total
-length allows, all of them full but one), when a third of its work made no progress, or when its work is done. In the end the fittest grouping of
+length allows, all of them full but one), when two thirds of its work made no progress, or when its work is done. That work is the same
+for every island, whatever the number of blocks, so a block is evolved alike in small and large inputs. In the end the fittest grouping of
 each block is taken; pieces of bins that are not well filled are pooled over all blocks and evolved once more.
 
 Memory of a task is bounded by a block, and blocks do not depend on sources, copies or keys. Where ids are unique, the result does not depend on
@@ -33,8 +34,9 @@ from quillon.llm.tokens import default_path, encoder, slices
 CAPACITY, SEPARATOR = 2048, 0
 #: Pieces a block, islands a block, epochs, individuals an island, and how full a bin must be to count as well filled.
 BLOCK, ISLANDS, EPOCHS, POPULATION, WELL = 4096, 3, 2, 5, 0.97
-#: Pieces that an island may place in an epoch: ``WORK``, and more where few islands share out ``SEARCH``. After a third without progress it stops.
-WORK, SEARCH = 6_000, 600_000
+#: Pieces that an island may handle in an epoch (a child's pieces, and once more those that it places), and as many of them without progress
+#: after which it stops. They hold for each island of every block, whatever the number of blocks, so all sizes of input are searched alike.
+WORK, SEARCH = 60_000, 40_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 STATE = "block long, island int, doc_id array<long>, piece array<int>, start array<long>, length array<int>, crc array<long>, population array<array<int>>, elite array<array<int>>, children int, progress int, first_bins int"
@@ -65,7 +67,7 @@ def cut_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: in
 
 def best_fit(order, lengths, bins: list[list[int]], room: list[int], capacity: int) -> None:
     """Put pieces, in this order, each into the fullest bin that has room, else into a new one."""
-    free = sorted((r, i) for i, r in enumerate(room))
+    free = sorted((r, i) for i, r in enumerate(room) if r)  # a full bin takes no piece
     for x in order:
         n = lengths[x]
         at = bisect_left(free, (n, -1))
@@ -77,7 +79,8 @@ def best_fit(order, lengths, bins: list[list[int]], room: list[int], capacity: i
             bins.append([x])
             room.append(capacity)
         room[i] = r - n
-        insort(free, (r - n, i))
+        if r > n:
+            insort(free, (r - n, i))
 
 
 def fitness(room: list[int], capacity: int) -> tuple:
@@ -98,9 +101,10 @@ class Island:
         self.people: list[tuple] = []
         self.children = self.progress = self.placed = 0  # crossovers, and those whose child was fitter than all before
 
-    def add(self, bins: list[list[int]]) -> bool:
-        """Take an individual in; tells whether it is the fittest so far."""
-        room = [self.capacity - sum(self.lengths[x] for x in b) for b in bins]
+    def add(self, bins: list[list[int]], room: list[int] | None = None) -> bool:
+        """Take an individual in, whose room may be known; tells whether it is the fittest so far."""
+        if room is None:
+            room = [self.capacity - sum(self.lengths[x] for x in b) for b in bins]
         new = (fitness(room, self.capacity), bins, room)
         better = not self.people or new[0] > self.people[0][0]
         self.people.append(new)
@@ -119,25 +123,24 @@ class Island:
         """Nothing can be fitter: as few bins as can be, and all of them full but one."""
         return bool(self.people) and len(self.people[0][1]) <= self.least and sum(r > 0 for r in self.people[0][2]) <= 1
 
-    def child(self, a: tuple, b: tuple) -> list[list[int]]:
-        """Well-filled bins of ``a`` whole, bins of ``b`` without their pieces, and best fit for what is displaced (``placed`` pieces)."""
+    def child(self, a: tuple, b: tuple) -> tuple[list[list[int]], list[int]]:
+        """Bins and their room: well-filled bins of ``a`` whole, bins of ``b`` without their pieces, and best fit for what is displaced (``placed`` pieces)."""
         draw = self.random.random
         spare = self.capacity * (1 - WELL) * draw() ** 2
         share = self.random.uniform(0.3, 1)
-        bins = [g for g, r in zip(a[1], a[2], strict=True) if r <= spare and draw() < share]
-        taken = {x for g in bins for x in g}
-        for g, r in zip(b[1], b[2], strict=True):
-            if taken.isdisjoint(g) and (r <= spare or draw() < 0.5):
-                bins.append(g)
-                taken.update(g)
-        room = [self.capacity - sum(self.lengths[x] for x in g) for g in bins]
+        kept = [(g, r) for g, r in zip(a[1], a[2], strict=True) if r <= spare and draw() < share]
+        taken = set().union(*(g for g, _ in kept))
+        free = taken.isdisjoint  # bins of one parent share nothing, so those of ``b`` meet the pieces of ``a`` alone
+        kept += [(g, r) for g, r in zip(b[1], b[2], strict=True) if free(g) and (r <= spare or draw() < 0.5)]
+        bins, room = [g for g, _ in kept], [r for _, r in kept]
+        taken.update(*bins)
         displaced = [x for x in self.order if x not in taken]
         opened = [i for i, r in enumerate(room) if r]
         for i in opened:
             bins[i] = list(bins[i])
         best_fit(self.exchange(displaced, bins, room, opened), self.lengths, bins, room, self.capacity)
         self.placed = len(displaced)
-        return bins
+        return bins, room
 
     def exchange(self, displaced: list[int], bins: list[list[int]], room: list[int], opened: list[int]) -> list[int]:
         """A displaced piece takes the place of one or two shorter pieces of a bin where that leaves the least room; returned is what is displaced then."""
@@ -162,19 +165,18 @@ class Island:
                 left.append(x)
         return sorted(left, key=lambda x: (-lengths[x], x))
 
-    def evolve(self, work: int, most: int) -> None:
-        """Children of random couples, until nothing can be fitter, or ``work`` pieces were placed, or a third of it without progress."""
-        idle, stall = 0, work // 3
+    def evolve(self, work: int, most: int, stall: int | None = None) -> None:
+        """Children of random couples, until nothing can be fitter, or ``work`` pieces were handled, or ``stall`` of them (a third) without progress."""
+        idle, stall = 0, work // 3 if stall is None else stall
         while work > 0 and idle < stall and len(self.people) > 1 and not self.done():
             a, b = self.random.sample(self.people, 2)
-            bins = self.child(a, b)
-            better = self.add(bins)
+            better = self.add(*self.child(a, b))
             while len(self.people) > most:  # the worst goes, or the older of two alike
                 twins = [i for i in range(1, len(self.people)) if self.people[i][0] == self.people[i - 1][0]]
                 del self.people[twins[-1] if twins else -1]
             self.children += 1
             self.progress += better
-            cost = self.placed + len(bins) // 8 + 1
+            cost = self.placed + len(self.lengths)
             idle = 0 if better else idle + cost
             work -= cost
 
@@ -212,14 +214,17 @@ def evolve_blocks(pieces: DataFrame, blocks: int, salt: int, capacity: int, *, u
         *(F.lit(0).alias(c) for c in ("children", "progress", "first_bins")),
     )
 
-    work = max(WORK, SEARCH // (blocks * ISLANDS * EPOCHS))
+    work, stall = WORK, SEARCH
+    changed = ["block", "island", "length", "population", "elite", "children", "progress", "first_bins"]  # the others pass as they are
 
     def epoch(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                lengths = row["length"]
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                row = one.select(changed).to_pylist()[0]
+                lengths = row.pop("length")
                 island = Island(lengths, capacity, zlib.crc32(f"{row['block']},{row['island']},{row['children']},{salt}".encode()))
                 for numbers in row["population"] + row["elite"]:
                     island.add(_bins(numbers))
@@ -227,14 +232,15 @@ def evolve_blocks(pieces: DataFrame, blocks: int, salt: int, capacity: int, *, u
                     island.start(POPULATION)
                     row["first_bins"] = len(island.people[0][1])
                 del island.people[POPULATION:]
-                island.evolve(work, POPULATION)
+                island.evolve(work, POPULATION, stall)
                 row["children"] += island.children
                 row["progress"] += island.progress
                 row["population"] = [_numbers(p[1], len(lengths)) for p in island.people]
                 row["elite"] = row["population"][:1]
-                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
+                columns = [pa.array([row[f.name]], f.type) if f.name in row else one.column(f.name) for f in batch.schema]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    spread = min(blocks * ISLANDS, 4000)
+    spread = min(-(-blocks * ISLANDS // 4), 4000)  # a few islands a task; which ones decides nothing
     for i in range(EPOCHS):
         state = state.repartition(spread, "block", "island").mapInArrow(epoch, STATE)
         state = materialize(state, f"islands{i}")
@@ -262,7 +268,7 @@ def fittest(state: DataFrame, capacity: int) -> DataFrame:
     def settle(batches):
         """The first individual is the fittest of its island; islands of a block are compared by the caller."""
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in batch.select(["block", "island", "length", "population"]).to_pylist():
                 bins = _bins(row["population"][0])
                 room = [capacity - sum(row["length"][x] for x in g) for g in bins]
                 score = fitness(room, capacity)

@@ -106,3 +106,14 @@ def test_ties_repeats_and_names_that_clash(docs, spark):
     assert packing.pack(clash.where("false")).count() == 0
     many = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
     assert sequences(packing.pack(many, block=500), packing.CAPACITY) <= 3000 * 4 // 2048 + 3
+
+
+def test_effort_does_not_depend_on_the_number_of_blocks(spark):
+    """A block among twelve is evolved as it is alone."""
+    rng, blocks = random.Random(1), 12
+    rows = pieces(spark, [rng.randrange(3, 60) for _ in range(600)])
+    first = F.pmod(F.xxhash64("doc_id", "piece", F.lit(1)), F.lit(blocks)) == 0
+    told = ("island", "doc_id", "population", "children", "progress", "first_bins")
+    of = lambda df, n: sorted(map(tuple, packing.evolve_blocks(df, n, 1, 100).where("block = 0").select(*told).collect()))
+    among, alone = of(rows, blocks), of(rows.where(first), 1)
+    assert len(among) == packing.ISLANDS and among == alone
