@@ -61,6 +61,13 @@ def hashes(text: str | None, held: WordHashes):
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, after which the shuffle files of the step go: Spark deletes them once the driver's JVM has collected what refers to them."""
+    out = materialize(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def with_sets(texts: DataFrame) -> DataFrame:
     """(doc, h, fingerprint) of ``texts`` (doc, text); h: the hashes of its shingles as little-endian bytes.
 
@@ -183,17 +190,17 @@ def mixed_files(rows: DataFrame) -> DataFrame:
 
 def shared_rows(filed: DataFrame) -> DataFrame:
     """The rows of files whose members have more than one root, with ``members`` and the ``salt`` of large files."""
-    mixed = materialize(mixed_files(filed), "mixed")
+    mixed = stored(mixed_files(filed), "mixed")
     hot = mixed.where(F.col("members") > HOT).select("key", "parts")
     salt = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("parts")), F.lit(0)).cast("int")
     rows = filed.join(checked(hot, hot.count()), "key", "left").withColumn("salt", salt).drop("parts")
-    return materialize(rows.join(salted(mixed), ["key", "salt"]), "shared")
+    return stored(rows.join(salted(mixed), ["key", "salt"]), "shared")
 
 
 def near_links(rows: DataFrame) -> DataFrame:
     """Verified edges (a, b) that connect all documents of ``rows`` (doc, h, fingerprint) that a chain of links connects."""
     sets = rows.select("doc", "h")
-    known = materialize(verified(simhash.document_links(rows.select("doc", simhash.FP)), sets), "close")
+    known = stored(verified(simhash.document_links(rows.select("doc", simhash.FP)), sets), "close")
     shared = shared_rows(files(rooted(sets, known), sketch(sets)))
     small = shared.where(F.col("members") <= SMALL).withColumn("cell", F.lit(0))
     large = shared.where(F.col("members") > SMALL)
@@ -202,16 +209,16 @@ def near_links(rows: DataFrame) -> DataFrame:
     spokes = large.join(salted(lead), ["key", "salt"]).where(F.col("root") != F.col("lead.root"))
     spokes = spokes.where(may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     spokes = spokes.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"))
-    edges = known.unionByName(materialize(verified(pairs_of(small).unionByName(spokes), sets), "near"))
+    edges = known.unionByName(stored(verified(pairs_of(small).unionByName(spokes), sets), "near"))
     if large.isEmpty():
         return edges
-    rest = materialize(rooted(large.drop("root"), edges), "rest")
+    rest = stored(rooted(large.drop("root"), edges), "rest")
     parts = F.ceil(F.col("members") / HOT).cast("int")
     left = mixed_files(rest).select("key", (F.ceil(F.col("members") / HOT).cast("int")).alias("parts"))
     rest = rest.join(salted(left), ["key", "salt"]).withColumn("parts", parts)
     own = F.col("salt")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, own) * F.col("parts") + F.greatest(j, own))
-    return edges.unionByName(materialize(verified(pairs_of(rest.withColumn("cell", F.explode(cells))), sets), "near"))
+    return edges.unionByName(stored(verified(pairs_of(rest.withColumn("cell", F.explode(cells))), sets), "near"))
 
 
 def losers(docs: DataFrame) -> DataFrame:
@@ -219,11 +226,11 @@ def losers(docs: DataFrame) -> DataFrame:
     key = P + "doc"
     rows = keyed(docs).select(F.col(key).alias("doc"), "text")
     text = F.coalesce("text", F.lit(""))
-    marked = materialize(rows.select("doc", F.md5(text).alias("digest")), "digests")
+    marked = stored(rows.select("doc", F.md5(text).alias("digest")), "digests")
     first = marked.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    first = materialize(first, "firsts")
-    copies = materialize(marked.join(checked(first, first.count()), "digest").where("doc <> first").select("doc").distinct(), "copies")
+    first = stored(first, "firsts")
+    copies = stored(marked.join(checked(first, first.count()), "digest").where("doc <> first").select("doc").distinct(), "copies")
     texts = rows.dropDuplicates(["doc"]).join(checked(copies, copies.count()), "doc", "left_anti")
-    sets = materialize(with_sets(texts), "sets")
+    sets = stored(with_sets(texts), "sets")
     near = components(near_links(sets)).where("node <> root").select(F.col("node").alias("doc"))
     return copies.unionByName(near).distinct().withColumnRenamed("doc", key)
