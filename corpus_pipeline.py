@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontam, near, packing, quality, suffix
-from quillon.llm.common import P, checked, free_name, keyed_rows, materialize, quoted, table
+from quillon.llm.common import P, checked, free_name, keyed_rows, materialize, quoted, settled, table
 
 
 def own(docs: DataFrame) -> list[str]:
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are equal, so one of them stays. Null ids come before all others. Rows that agree in id and text are one document, of which
     one row stays; rows with one id and unlike texts are two documents. Long texts are compared as whole sets. An empty table stays empty. No other column is read.
     """
-    losers = materialize(near.losers(docs.select("doc_id", "text")), "losers")
+    losers = settled(lambda: near.losers(docs.select("doc_id", "text")), "losers")
     _, unique = keyed_rows(docs)
     return unique.join(checked(losers, losers.count()), P + "doc", "left_anti").select(*own(docs))
 

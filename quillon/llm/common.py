@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,13 +73,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_prefix(spark)}{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the scratch tables that the step under way has begun, where ``settled`` asks for them.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def begun(spark: SparkSession, name: str) -> str:
+    """The path of a new scratch table."""
+    path, made = scratch_path(spark, name), _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = scratch_path(df.sparkSession, name)
+    path = begun(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize`` of what ``build`` returns, after which the scratch tables go that ``build`` has written."""
+    made: list[str] = []
+    mark = _MADE.set(made)
+    try:
+        df = build()
+    finally:
+        _MADE.reset(mark)
+    out = materialize(df, name)
+    for path in made:
+        delete(df.sparkSession, path)
+    return out
+
+
+def delete(spark: SparkSession, pattern: str) -> None:
+    """Delete the files and folders that ``pattern`` matches."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path) or []:
+        fs.delete(found.getPath(), True)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow``; after its last batch a worker returns freed memory to the system, since it stays idle beside the executor."""
 
@@ -97,11 +134,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it when no lazy result still reads them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_prefix(spark) + "*")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in fs.globStatus(path) or []:
-        fs.delete(found.getPath(), True)
+    delete(spark, scratch_prefix(spark) + "*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

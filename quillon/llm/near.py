@@ -11,17 +11,23 @@ Files of up to ``SMALL`` members give all their pairs. A larger file first gives
 links are contracted, and only pairs that are still in different components follow. So a large group of copies costs about its
 size, not its square; unlike documents that share nothing but common shingles do cost their pairs. Files of over ``HOT`` members are salted.
 
+The sets are the largest thing here. So a pair is first ruled out, where this is certain, by how many hashes of either set begin with the same
+bits (a byte for about four hashes); only sets of pairs that are left travel, and where these are many, round by round: documents are dealt to
+classes by hash, and a round takes the pairs of two classes. What a round shuffles is about a ``SHARE``-th of all sets.
+
 Defined cases: words are split and lowered as in ``simhash``. A text of fewer than five words is one shingle; a null or blank text has
 none, and only equal texts are its copies. Null ids take part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import simhash
-from quillon.llm.common import P, checked, keyed, map_arrow, materialize
+from quillon.llm.common import BROADCAST_ROWS, P, begun, checked, keyed_rows, map_arrow, materialize, settled
 from quillon.llm.components import components
 
 SIZE, SEED = 5, 42
@@ -31,6 +37,8 @@ JACCARD = 80
 SMALL, HOT = 32, 2000
 #: Bits of the sketch that counts shingles; words whose hashes a task holds; rows that are hashed or filed at once.
 SKETCH, MOST_WORDS, SLICE = 18, 1 << 18, 500
+#: What a round of verification shuffles: this part of the bytes of all sets, but this many at least. Classes for sets whose documents are too many for a broadcast.
+SHARE, LEAST, CLASSES = 4, 1 << 26, 8
 
 
 class WordHashes(dict):
@@ -69,7 +77,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
-    """(doc, h, fingerprint) of ``texts`` (doc, text); h: the hashes of its shingles as little-endian bytes.
+    """(doc, h, n, fingerprint) of ``texts`` (doc, text); h: the n hashes of its shingles as little-endian bytes.
 
     One pass for both: two in a row would take two Python workers a core, which stay with all they hold.
     """
@@ -83,9 +91,10 @@ def with_sets(texts: DataFrame) -> DataFrame:
                 part = batch.slice(start, SLICE)
                 rows = part.column(1).to_pylist()
                 h = [hashes(t, held).tobytes() for t in rows]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.binary()), pa.array(simhash.bits(rows), pa.int64())], names=["doc", "h", simhash.FP])
+                cols = [pa.array(h, pa.binary()), pa.array([len(x) // 8 for x in h], pa.int32()), pa.array(simhash.bits(rows), pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc", "h", "n", simhash.FP])
 
-    return map_arrow(texts.select("doc", "text"), run, f"doc long, h binary, {simhash.FP} long")
+    return map_arrow(texts.select("doc", "text"), run, f"doc long, h binary, n int, {simhash.FP} long")
 
 
 def sketch(sets: DataFrame):
@@ -148,26 +157,126 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return both.where(may_link(F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at"))).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs whose sets of shingles reach the bound."""
+def class_of(doc: str, classes: int):
+    """The class that a document is dealt to."""
+    return F.pmod(F.xxhash64(doc), F.lit(classes))
+
+
+def gathered(spark: SparkSession, steps: Iterable[DataFrame], name: str) -> DataFrame:
+    """The rows of all ``steps``, which run one after another; the shuffle files of each go before the next."""
+    path = begun(spark, name)
+    for df in steps:
+        df.write.mode("append").parquet(path)
+        schema = df.schema
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def members(pairs: DataFrame, sets: DataFrame, load) -> DataFrame:
+    """(doc, load, times) of the documents that are in pairs, and in how many; ``load`` makes (doc, load, times) of (doc, h, n, times).
+
+    Sets without a pair don't travel; where the others are too many for a broadcast, one class of documents travels at a time.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("times"))
+    ends = stored(ends, "ends")
+    rows = ends.count()
+    classes = 1 if rows <= BROADCAST_ROWS else CLASSES
+    few = lambda df, i: df.where(class_of("doc", classes) == i) if classes > 1 else df
+    steps = (load(few(sets, i).join(checked(few(ends, i), rows), "doc")) for i in range(classes))
+    return gathered(sets.sparkSession, steps, "members")
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """The load of ``members`` that decides: all hashes."""
+    return rows.select("doc", F.col("h").alias("load"), "times")
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """The load of ``members`` that bounds: how many hashes begin with each run of bits, about four a run, as one byte up to 255."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for a, b, one, two in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                one, two = np.frombuffer(one, "u8"), np.frombuffer(two, "u8")
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                if shared and 100 * shared >= JACCARD * (len(one) + len(two) - shared):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            for start in range(0, batch.num_rows, SLICE):
+                part, loads = batch.slice(start, SLICE), []
+                for raw in part.column(1).to_pylist():
+                    h = np.frombuffer(raw, "u8")
+                    bits = max(1, (len(h) // 4).bit_length())
+                    n = np.bincount((h >> np.uint64(64 - bits)).astype("i8"), minlength=1 << bits)
+                    loads.append(np.minimum(n, 255).astype("u1").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(loads, pa.binary()), part.column(2)], names=["doc", "load", "times"])
+
+    return map_arrow(rows.select("doc", "h", "times"), run, "doc long, load binary, times long")
+
+
+def reaches(shared: int, n: int, m: int) -> bool:
+    """Whether sets of ``n`` and ``m`` that have so many elements in common reach the bound."""
+    return shared > 0 and 100 * shared >= JACCARD * (n + m - shared)
+
+
+def likely(one: bytes, two: bytes) -> bool:
+    """Whether sets with these ``counts`` may reach the bound: they share at most the lesser count of each run. A full byte tells nothing."""
+    import numpy as np
+
+    x, y = sorted((np.frombuffer(t, "u1").astype("i8") for t in (one, two)), key=len)
+    if max(x.max(), y.max()) == 255:
+        return True
+    return reaches(int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum()), int(x.sum()), int(y.sum()))
+
+
+def similar(one: bytes, two: bytes) -> bool:
+    """Whether sets of these hashes reach the bound."""
+    import numpy as np
+
+    x, y = np.frombuffer(one, "u8"), np.frombuffer(two, "u8")
+    return reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
+
+
+def passing(pairs: DataFrame, held: DataFrame, test, most: int, name: str) -> DataFrame:
+    """Those of the pairs whose two loads in ``held`` pass the test, found in rounds that shuffle about ``most`` bytes each."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                rows = zip(*(batch.column(i).slice(start, SLICE).to_pylist() for i in range(4)), strict=True)
+                out = [(a, b) for a, b, one, two in rows if test(one, two)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    size = F.octet_length("load").cast("long")
+    own, sent = held.agg(F.sum(size), F.sum(size * F.col("times"))).first()
+    k = classes(own or 0, sent or 0, most)
+
+    def step(i: int, j: int) -> DataFrame:
+        one = held.where(class_of("doc", k) == i).select(F.col("doc").alias("a"), F.col("load").alias("one"))
+        two = held.where(class_of("doc", k) == j).select(F.col("doc").alias("b"), F.col("load").alias("two"))
+        these = pairs.where((class_of("a", k) == i) & (class_of("b", k) == j))
+        return map_arrow(these.join(two, "b").join(one, "a").select("a", "b", "one", "two"), run, "a long, b long")
+
+    return gathered(pairs.sparkSession, (step(i, j) for i in range(k) for j in range(k)), name)
+
+
+def classes(own: int, sent: int, most: int) -> int:
+    """Classes of documents so that a round of two of them shuffles about ``most`` bytes: loads of all members are ``own`` bytes, those that go with pairs ``sent``."""
+    k = 1
+    while 2 * own * k + sent > most * k * k:
+        k += 1
+    return k
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs whose sets of shingles reach the bound, a stored table: what counts of hashes can't rule out is compared whole."""
+
+    def links() -> DataFrame:
+        most = max(LEAST, 8 * (sets.agg(F.sum("n").cast("long")).first()[0] or 0) // SHARE)
+        found = stored(pairs.distinct(), "pairs")
+        found = passing(found, members(found, sets, counts), likely, most, "likely")
+        return passing(found, members(found, sets, whole), similar, most, "similar")
 
-    one = sets.select(F.col("doc").alias("a"), F.col("h").alias("one"))
-    two = sets.select(F.col("doc").alias("b"), F.col("h").alias("two"))
-    both = pairs.distinct().join(two, "b").join(one, "a").select("a", "b", "one", "two")
-    return map_arrow(both, run, "a long, b long")
+    return settled(links, "verified")
 
 
 def rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -198,9 +307,9 @@ def shared_rows(filed: DataFrame) -> DataFrame:
 
 
 def near_links(rows: DataFrame) -> DataFrame:
-    """Verified edges (a, b) that connect all documents of ``rows`` (doc, h, fingerprint) that a chain of links connects."""
-    sets = rows.select("doc", "h")
-    known = stored(verified(simhash.document_links(rows.select("doc", simhash.FP)), sets), "close")
+    """Verified edges (a, b) that connect all documents of ``rows`` (doc, h, n, fingerprint) that a chain of links connects."""
+    sets = rows.select("doc", "h", "n")
+    known = verified(simhash.document_links(rows.select("doc", simhash.FP)), sets)
     shared = shared_rows(files(rooted(sets, known), sketch(sets)))
     small = shared.where(F.col("members") <= SMALL).withColumn("cell", F.lit(0))
     large = shared.where(F.col("members") > SMALL)
@@ -209,7 +318,7 @@ def near_links(rows: DataFrame) -> DataFrame:
     spokes = large.join(salted(lead), ["key", "salt"]).where(F.col("root") != F.col("lead.root"))
     spokes = spokes.where(may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     spokes = spokes.select(F.least("doc", "lead.doc").alias("a"), F.greatest("doc", "lead.doc").alias("b"))
-    edges = known.unionByName(stored(verified(pairs_of(small).unionByName(spokes), sets), "near"))
+    edges = known.unionByName(verified(pairs_of(small).unionByName(spokes), sets))
     if large.isEmpty():
         return edges
     rest = stored(rooted(large.drop("root"), edges), "rest")
@@ -218,19 +327,19 @@ def near_links(rows: DataFrame) -> DataFrame:
     rest = rest.join(salted(left), ["key", "salt"]).withColumn("parts", parts)
     own = F.col("salt")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, own) * F.col("parts") + F.greatest(j, own))
-    return edges.unionByName(stored(verified(pairs_of(rest.withColumn("cell", F.explode(cells))), sets), "near"))
+    return edges.unionByName(verified(pairs_of(rest.withColumn("cell", F.explode(cells))), sets))
 
 
 def losers(docs: DataFrame) -> DataFrame:
     """Keys (``keyed``) of the documents of ``docs`` (doc_id, text) that a near copy with a smaller key stands for."""
     key = P + "doc"
-    rows = keyed(docs).select(F.col(key).alias("doc"), "text")
+    rows, unique = (df.select(F.col(key).alias("doc"), "text") for df in keyed_rows(docs))
     text = F.coalesce("text", F.lit(""))
     marked = stored(rows.select("doc", F.md5(text).alias("digest")), "digests")
     first = marked.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
     first = stored(first, "firsts")
     copies = stored(marked.join(checked(first, first.count()), "digest").where("doc <> first").select("doc").distinct(), "copies")
-    texts = rows.dropDuplicates(["doc"]).join(checked(copies, copies.count()), "doc", "left_anti")
+    texts = unique.join(checked(copies, copies.count()), "doc", "left_anti")
     sets = stored(with_sets(texts), "sets")
     near = components(near_links(sets)).where("node <> root").select(F.col("node").alias("doc"))
     return copies.unionByName(near).distinct().withColumnRenamed("doc", key)

@@ -1,11 +1,13 @@
 """Near copies by exact Jaccard similarity against all pairs, with small and large files."""
 
+import os
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 
-from quillon.llm import near, simhash
+from quillon.llm import common, near, simhash
 
 
 def shingles(text):
@@ -96,3 +98,84 @@ def test_fingerprints_beside_sets(spark, awkward):
     rows = awkward.select(awkward["text"].alias("text"), awkward["n_chars"].alias("doc"))
     alone = simhash.fingerprints(rows).select("doc", simhash.FP)
     assert sorted(map(tuple, near.with_sets(rows).select("doc", simhash.FP).collect())) == sorted(map(tuple, alone.collect()))
+
+
+def shuffled(spark):
+    """Bytes that this session has written to shuffle files so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def random_sets(spark, n, seed=3):
+    rng = np.random.default_rng(seed)
+    h = [np.unique(rng.integers(0, 1 << 63, 400, dtype="u8")) for _ in range(n)]
+    h[1] = h[0].copy()
+    h[1][:3] += np.uint64(1)
+    h[1].sort()
+    return spark.createDataFrame([(i, bytearray(x.tobytes()), len(x)) for i, x in enumerate(h)], "doc long, h binary, n int")
+
+
+def test_only_sets_of_likely_pairs_travel(spark):
+    """Of 1,500 sets (4.8 MB), two are alike; 1,000 pairs of unlike ones would carry 3 MB besides."""
+    sets = common.materialize(random_sets(spark, 1500), "sets")
+    pairs = spark.createDataFrame([(0, 1), *((i, i + 1) for i in range(1, 1001))], "a long, b long")
+    before = shuffled(spark)
+    assert [tuple(r) for r in near.verified(pairs, sets).collect()] == [(0, 1)]
+    assert shuffled(spark) - before < 1_000_000
+
+
+def test_rounds_bound_what_is_shuffled(spark, monkeypatch):
+    """Where all pairs are alike, nothing is ruled out: rounds keep what lies on the disk at once below the whole."""
+    base = np.arange(400, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    rows = [(i, bytearray(np.sort(np.r_[base, np.uint64(i)]).tobytes()), 401) for i in range(1, 301)]
+    sets = common.materialize(spark.createDataFrame(rows, "doc long, h binary, n int"), "sets")
+    wanted = [(a, a + d) for a in range(1, 300) for d in (1, 7, 50) if a + d <= 300]
+    monkeypatch.setattr(near, "LEAST", 1 << 10)
+    monkeypatch.setattr(near, "BROADCAST_ROWS", 10)  # so that sets come class by class
+    gathered, most = near.gathered, [0]
+
+    def told(spark, steps, name):
+        def each():
+            at = shuffled(spark)
+            for df in steps:
+                yield df
+                most[0], at = max(most[0], shuffled(spark) - at), shuffled(spark)
+
+        return gathered(spark, each(), name)
+
+    monkeypatch.setattr(near, "gathered", told)
+    out = near.verified(spark.createDataFrame(wanted, "a long, b long"), sets)
+    assert sorted(map(tuple, out.collect())) == wanted
+    assert 0 < most[0] < 300 * 401 * 8 / 2
+
+
+def test_rounds_equal_all_pairs(spark, docs, monkeypatch):
+    for name, value in (("LEAST", 1 << 10), ("SHARE", 40), ("BROADCAST_ROWS", 10), ("CLASSES", 3), ("SMALL", 4), ("HOT", 6)):
+        monkeypatch.setattr(near, name, value)
+    rows = planted(5)
+    out = cp.near_dedup(spark, docs(rows), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == kept(rows)
+
+
+def test_counts_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(8)
+    rows, sets = [], {}
+    for i in range(150):
+        n = int(rng.choice([1, 2, 5, 30, 300, 3000]))
+        a = rng.integers(0, 1 << 64, n, dtype="u8") >> np.uint64(rng.choice([0, 0, 0, 40]))  # some crowd together: full bytes
+        b = np.r_[a[: max(1, int(n * rng.uniform(0.7, 1)))], rng.integers(0, 1 << 64, int(n * rng.uniform(0, 0.2)), dtype="u8")]
+        sets |= {2 * i: np.unique(a), 2 * i + 1: np.unique(b)}
+    rows = [(i, bytearray(x.tobytes()), 1) for i, x in sets.items()]
+    load = {r["doc"]: bytes(r["load"]) for r in near.counts(spark.createDataFrame(rows, "doc long, h binary, times long")).collect()}
+    alike = [(2 * i, 2 * i + 1) for i in range(150) if near.similar(sets[2 * i].tobytes(), sets[2 * i + 1].tobytes())]
+    assert 20 < len(alike) < 150
+    assert all(near.likely(load[a], load[b]) and near.likely(load[b], load[a]) for a, b in alike)
+    assert any(max(load[i]) == 255 for i in load)
+
+
+def test_scratch_goes_with_the_stage(spark, docs):
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    cp.near_dedup(spark, docs([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x " * 30)]), "").count()
+    assert [x.split("-")[-2] for x in set(os.listdir(folder)) - before if "losers" in x] == ["losers"]
+    assert len(set(os.listdir(folder)) - before) == 1
