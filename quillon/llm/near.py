@@ -22,7 +22,9 @@ none, and only equal texts are its copies. Null ids take part.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import suppress
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +71,23 @@ def hashes(text: str | None, held: WordHashes):
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def released(spark: SparkSession) -> None:
+    """The shuffle files of ended steps go: Spark deletes them once the driver's JVM has collected what refers to them.
+
+    The event that ends a query holds its plan, and the threads of listener bus and scheduler hold their last event until the next: so a query
+    of one row comes after, and the bus is waited for. One that lags for ten seconds is left alone, the files go with a later step.
+    """
+    spark.range(0, 1, 1, 1).collect()
+    sc = spark.sparkContext
+    with suppress(Py4JJavaError):
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+    sc._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``materialize``, after which the shuffle files of the step go: Spark deletes them once the driver's JVM has collected what refers to them."""
+    """``materialize``, after which the shuffle files of the step go."""
     out = materialize(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    released(df.sparkSession)
     return out
 
 
@@ -168,7 +183,7 @@ def gathered(spark: SparkSession, steps: Iterable[DataFrame], name: str) -> Data
     for df in steps:
         df.write.mode("append").parquet(path)
         schema = df.schema
-        spark.sparkContext._jvm.System.gc()
+        released(spark)
     return spark.read.schema(schema).parquet(path)
 
 

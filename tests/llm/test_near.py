@@ -2,10 +2,13 @@
 
 import os
 import random
+import time
+from pathlib import Path
 
 import corpus_pipeline as cp
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import common, near, simhash
 
@@ -106,6 +109,28 @@ def shuffled(spark):
     return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
 
 
+def on_disk(spark):
+    """Bytes of shuffle files that lie on this session's disk."""
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    found = [f for d in folders for f in Path(d.getPath()).rglob("shuffle_*") if f.exists()]
+    return sum(f.stat().st_size for f in found)
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    def large(i):
+        return spark.range(1_000_000).groupBy(((F.col("id") * (7 + i)) % 500_009).alias("k")).count()
+
+    near.released(spark)
+    time.sleep(1)
+    before = on_disk(spark)
+    for i in range(2):
+        assert near.stored(large(i), "large").count() == 500_009
+        path = near.gathered(spark, (large(j) for j in (i, i + 2)), "several")
+        time.sleep(1)  # the cleaner has a thread of its own
+        assert on_disk(spark) - before < 100_000
+    assert path.count() == 1_000_018
+
+
 def random_sets(spark, n, seed=3):
     rng = np.random.default_rng(seed)
     h = [np.unique(rng.integers(0, 1 << 63, 400, dtype="u8")) for _ in range(n)]
